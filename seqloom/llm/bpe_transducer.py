@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.text import pieces
 
 MAX_STATES = 250_000
-MAX_WORDS = 300_000
+MAX_WORDS = 550_000
 RUN = 1 << 16
 
 
