@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.llm import bpe_transducer
+from seqloom.llm import bpe_transducer, language_id, parity_join, positional_index, randomness, robust_outliers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,13 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256)).drop("items")
+
+
+def op6_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return randomness.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.groups(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
+def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers.outliers(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_transducer.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.predict(docs, model, "doc_id")
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
+    "op4_positional_index": op4_positional_index,
+    "op6_randomness": op6_randomness,
+    "op7_parity_join": op7_parity_join,
+    "op8_robust_outliers": op8_robust_outliers,
     "op9_bpe_transducer": op9_bpe_transducer,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}
