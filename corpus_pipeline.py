@@ -1,23 +1,71 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+All stages but the last return the columns of documents, extra ones included; n_chars follows the text.
+Null and repeated ids are allowed: rows are told apart by id and text. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.llm import bpe_transducer
+from seqloom.llm import bpe_transducer, language_id, line_spread, parity_join, positional_index
 from seqloom.llm.scratch import materialise
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The least calibrated probability of a language for a document to stay.
+SURE = 0.5
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that can be learned; all, if there is nothing to learn from."""
+    model = language_id.fit(docs)
+    if model is None:
+        return docs
+    found = language_id.predict(docs, model, *docs.columns, names=("_language", "_sure"))
+    return found.where((F.col("_language") != language_id.UNKNOWN) & (F.col("_sure") >= SURE)).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many sources share."""
+    out = line_spread.remove_lines(docs, line_spread.boilerplate(docs))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (shingles of five words, similarity 0.8): the least doc_id."""
+    groups = parity_join.groups(docs, 5, 80, 100)
+    stays = groups.where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")) | (F.col("n_shingles") == 0))
+    stays = stays.select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def _row_key() -> Column:
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = positional_index.contamination(docs.select(_row_key().alias("doc_id"), "text"), items)
+    leaks = found.where("contaminated").select(F.col("doc_id").alias("_leak"))
+    return docs.join(leaks, _row_key() == F.col("_leak"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of each document's ids and of what these decode to."""
     return bpe_transducer.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify),
+    ("line_dedup", drop_lines),
+    ("near_duplicates", drop_near),
+    ("decontamination", drop_leaks),
     ("bpe_encoding", encode),
 ]
 
@@ -31,5 +79,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: No stage but the second can be written in SQL.
+#: Language ID, near duplicates and byte-level BPE can't be written in SQL; tests hold them against brute force.
 ORACLE_SQL: str | None = None

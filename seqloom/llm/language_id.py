@@ -231,25 +231,27 @@ def fit(docs: DataFrame, size: int = SAMPLE) -> Model | None:
     return Model(languages, weights.astype(np.float32), bias, _temperature(logits, np.array([k for k, _, _ in aside], int)) if aside else 1.0)
 
 
-def predict(docs: DataFrame, model: Model | None, *keys: str) -> DataFrame:
-    """The key columns, lang_pred and score of each row of docs."""
+def predict(docs: DataFrame, model: Model | None, *keys: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The key columns (text may be one of them), and the predicted language and its probability, for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS by languages, about 1 MB
+    columns = list(keys) if "text" in keys else [*keys, "text"]
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in pieces(batches, "text"):
-            names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            languages, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if own is not None:
-                grams = Grams(batch.column(len(keys)))
+                grams = Grams(batch.column(at))
                 some = grams.by_text(grams.has_letter.astype(float)) > 0
                 p = _softmax(own.logits(grams) / own.temperature)
                 best = p.argmax(axis=1)
-                names = [own.languages[k] if s else UNKNOWN for k, s in zip(best, some, strict=True)]
+                languages = [own.languages[k] if s else UNKNOWN for k, s in zip(best, some, strict=True)]
                 scores = np.where(some, p.max(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keys, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*keys, *names])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*columns).mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(doc_id: str = "doc_id"):  # noqa: ANN201
