@@ -12,9 +12,15 @@ each of 2 buckets a member; its Hamming distance is a lower bound of the differe
 candidates before their sets are compared exactly.
 
 Equal sets count as one node, named by its smallest doc_id. Within the sets that share a part, first
-each meets the one with the most neighbours; then pairs of different components, of suitable sizes,
-meet. So a large group of near copies costs a number of pairs in proportion to its size, while any
-two texts that could link either are compared or are known to be connected.
+each meets the one with the most neighbours. Where that leaves more than one component, the sets
+outside the largest meet all others: they are cut into blocks of about BLOCK sets, pairs of blocks are
+dealt to tasks, and a task compares parity bits without writing out any pair but those that pass. So
+no task holds more than two blocks, pairs are not listed within a group, and any two texts that could
+link either are compared or are known to be connected. A first such round takes each set's best
+candidate only, which connects most of what is left; the last round takes all that pass.
+
+Shingles of candidates are made anew from the texts. A bitmap of fixed size over their ids lets the
+scan pass by other texts; where ids are too many for it, more texts pass, and the result is the same.
 
 Nulls: a text that is null or has no words has an empty set and is linked with nothing; a null doc_id
 is linked only if texts of its very set have ids. Repeated rows count as copies; rows with one doc_id
@@ -36,6 +42,10 @@ from seqloom.llm.text import LOWER, NON_SPACE, Words, column_bytes, mix, pieces,
 
 #: Ratio of the bounds of a size band; parts left out, as a share of d.
 BAND, SPARE = 1.3, 0.25
+#: Sets in a block of a part's members (on average, as they are dealt by hash); words of parity bits compared at once.
+BLOCK, WORDS = 2048, 1 << 20
+#: Pairs that are compared at once, and bits of the bitmap of ids (4 MB).
+PAIRS, MARKS = 1 << 18, 1 << 25
 
 _ONE = np.uint64(1)
 
@@ -76,9 +86,13 @@ class Bands:
         kept = np.argsort(np.bincount(part, minlength=parts), kind="stable")[spare:]
         return mix(sketch[kept] ^ mix(kept.astype(np.uint64) * np.uint64(4096) + np.uint64(band)))
 
+    def words(self, band: int) -> int:
+        """64-bit words of parity bits of a set in the band."""
+        return int(self.ends[band]) // 32 + 1
+
     def bits(self, members: np.ndarray, band: int) -> np.ndarray:
         """The parity bits as 64-bit words."""
-        size = 64 * (int(self.ends[band]) // 32 + 1)
+        size = 64 * self.words(band)
         at = ((members & np.uint64(0xFFFFFFFF)) % np.uint64(size)).astype(np.int64)
         words = np.zeros(size // 64, np.uint64)
         np.bitwise_xor.at(words, at >> 6, _ONE << (at & 63).astype(np.uint64))
@@ -155,9 +169,9 @@ def _passes(pairs: DataFrame, bands: Bands, id_type: str) -> DataFrame:
                 (small, cs), (large, cl) = sides
                 band, words = bands.band(small), []
                 for size, c in ((small, cs), (large, cl)):
-                    skip = sum(int(bands.ends[b]) // 32 + 1 for b in bands.bands_of(size) if b < band)
+                    skip = sum(bands.words(b) for b in bands.bands_of(size) if b < band)
                     own = np.frombuffer(batch.column(c + 1)[row].as_buffer(), np.uint64)
-                    words.append(own[skip : skip + int(bands.ends[band]) // 32 + 1])
+                    words.append(own[skip : skip + bands.words(band)])
                 most = (bands.below - bands.above) * small // bands.above
                 keep.append(int(np.bitwise_count(words[0] ^ words[1]).sum()) <= most)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
@@ -165,16 +179,151 @@ def _passes(pairs: DataFrame, bands: Bands, id_type: str) -> DataFrame:
     return pairs.select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
+class _Cells:
+    """Rows of whole cells, one cell after another, and the pairs among them that parity bits allow."""
+
+    def __init__(self, batch: pa.RecordBatch, bands: Bands) -> None:
+        self.bands = bands
+        self.low, self.high, self.block, self.n, self.own = (batch.column(c).to_numpy() for c in ("low", "high", "block", "n", "component"))
+        key = batch.column("key").to_numpy()
+        new = (key[1:] != key[:-1]) | (self.low[1:] != self.low[:-1]) | (self.high[1:] != self.high[:-1])
+        self.bounds = np.concatenate([[0], np.flatnonzero(new) + 1, [len(key)]])
+        sizes, place = np.unique(self.n, return_inverse=True)
+        lists = [bands.bands_of(int(k)) for k in sizes]
+        self.band = np.array([b[-1] for b in lists])[place]
+        bits = batch.column("bits")
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in bits]
+        self.bits: dict[int, np.ndarray] = {}
+        self.at: dict[int, np.ndarray] = {}
+        for band in np.unique(self.band).tolist():
+            skip = np.array([sum(bands.words(b) for b in x if b < band) if band in x else -1 for x in lists])[place]
+            rows = np.flatnonzero(skip >= 0)
+            size = bands.words(band)
+            self.bits[band] = np.stack([raw[i][skip[i] : skip[i] + size] for i in rows])
+            self.at[band] = np.full(len(key), -1)
+            self.at[band][rows] = np.arange(len(rows))
+
+    def listed(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of one cell, many cells together."""
+        left, right, held = [], [], 0
+        for low, high in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True):
+            size = high - low
+            step = max(1, PAIRS // size)
+            for start in range(0, size - 1, step):
+                i, j = np.triu_indices(min(step, size - start), 1, size - start)
+                left.append(i + (low + start))
+                right.append(j + (low + start))
+                held += len(i)
+                if held >= PAIRS:
+                    yield np.concatenate(left), np.concatenate(right)
+                    left, right, held = [], [], 0
+        if held:
+            yield np.concatenate(left), np.concatenate(right)
+
+    def passing(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows and parity distance of pairs in different components that the bits allow."""
+        above, below = self.bands.above, self.bands.below
+        for i, j in self.listed():
+            small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+            ok = (self.own[i] != self.own[j]) & (below * small >= above * large)
+            ok &= (self.low[i] == self.high[i]) | (self.block[i] != self.block[j])
+            i, j, small = i[ok], j[ok], small[ok]
+            band = np.minimum(self.band[i], self.band[j])
+            for b in np.unique(band).tolist():
+                here = np.flatnonzero(band == b)
+                step = max(1, WORDS // self.bits[b].shape[1])
+                for low in range(0, len(here), step):
+                    x, y, m = (v[here[low : low + step]] for v in (i, j, small))
+                    distance = np.bitwise_count(self.bits[b][self.at[b][x]] ^ self.bits[b][self.at[b][y]]).sum(axis=1, dtype=np.int64)
+                    fits = distance <= (below - above) * m // above
+                    yield x[fits], y[fits], distance[fits]
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut between cells; rows come in the order of cells."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = [batch.column(c).to_numpy() for c in ("key", "low", "high")]
+        starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cell], axis=0)) + 1
+        if held and all(held[-1].column(c)[held[-1].num_rows - 1].as_py() == batch.column(c)[0].as_py() for c in ("key", "low", "high")):
+            if not len(starts):
+                held.append(batch)
+                continue
+            first = int(starts[0])
+            yield pa.Table.from_batches([*held, batch.slice(0, first)]).combine_chunks().to_batches()[0]
+            held, batch, starts = [], batch.slice(first), starts[1:] - first
+        elif held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        last = int(starts[-1]) if len(starts) else 0
+        if last:
+            yield batch.slice(0, last)
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _strays(rows: DataFrame, bands: Bands, id_type: str, best: bool) -> DataFrame:
+    """Candidates (a, b) among the rows (key, node, n, component, main, bits) that share a key.
+
+    main is one component of the key's; its rows meet the others, not each other. best: only the
+    nearest candidate of each row."""
+    inside = F.col("component") == F.col("main")
+    blocks = rows.groupBy("key").agg(*(F.ceil(F.count(F.when(c, 1)) / BLOCK).alias(k) for k, c in (("mains", inside), ("strays", ~inside))))
+    own = F.when(inside, F.pmod(F.xxhash64("node"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), "strays"))
+    last = F.col("mains") + F.col("strays") - 1
+    # few rows make one cell; else a block meets each block of strays
+    one = last == 1
+    others = F.when(F.col("block") < F.col("mains"), F.sequence(F.col("mains"), last)).otherwise(F.sequence(F.lit(0).cast("long"), last))
+    cells = rows.join(blocks, "key").withColumn("block", own).withColumn("other", F.explode(F.when(one, F.array(F.col("block"))).otherwise(others)))
+    cells = cells.select(
+        "key", F.when(one, 0).otherwise(F.least("block", "other")).alias("low"), F.when(one, 0).otherwise(F.greatest("block", "other")).alias("high"), "block", "node", "n", "component", "bits"
+    )
+    cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_cells(batches):
+            node = batch.column("node")
+            for x, y, distance in _Cells(batch, bands).passing():
+                if best:
+                    ends = np.concatenate([x, y])
+                    order = np.lexsort((np.tile(distance, 2), ends))
+                    pick = order[np.concatenate([[True], ends[order][1:] != ends[order][:-1]])] % max(len(x), 1) if len(x) else order
+                    x, y = x[pick], y[pick]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array(x)), node.take(pa.array(y))], ["a", "b"])
+
+    found = cells.mapInArrow(run, f"a {id_type}, b {id_type}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of the nodes' hashes."""
+    at = F.pmod(F.xxhash64("node"), F.lit(MARKS)) + 1
+    found = nodes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in found.collect():  # at most MARKS / 32768 rows of 4 KB
+        low = (r["bucket"] - 1) * 4096
+        out[low : low + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, bands: Bands, n: int, id_type: str) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _pack(list(sets_of(batch.column(1), n)))], ["node", "members"])
+        own = marks.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            chosen = batch.filter(pa.array((own[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for piece in pieces(iter([chosen]), "text"):
+                yield pa.RecordBatch.from_arrays([piece.column(0), _pack(list(sets_of(piece.column(1), n)))], ["node", "members"])
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(ends, "node").dropDuplicates(["node"])
-    sets = materialise(texts.mapInArrow(members, f"node {id_type}, members binary"), "sets")
+    known = docs.select(F.col("doc_id").alias("node"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("at"))
+    sets = materialise(known.mapInArrow(members, f"node {id_type}, members binary"), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,18 +372,21 @@ def groups(docs: DataFrame, n: int = 4, above: int = 85, below: int = 100) -> Da
     release(first)
     labels = components(links)
 
-    placed = met.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    placed = materialise(placed.join(open_keys, "key"), "open")
-    left = placed.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = placed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    second = left.join(right, "key").where((F.col("ca") < F.col("cb")) & fit(F.col("na"), F.col("nb")))
-    second = with_bits(second.select("a", "b", "na", "nb").distinct())
-    more = _verified(second, docs, bands, n, id_type)
-    release(second, placed)
-    if not more.isEmpty():
-        release(labels)
-        labels = components(links.unionByName(more))
+    for best in (True, False):
+        placed = met.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        open_keys = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("greatest")).where("least <> greatest").select("key")
+        mains = centers.select("key", F.col("a").alias("center")).join(labels, F.col("center") == F.col("node"), "left")
+        mains = open_keys.join(mains.select("key", F.coalesce("component", "center").alias("main")), "key")
+        placed = placed.join(mains, "key").join(known.select("node", "bits"), "node")
+        found = materialise(_strays(placed, bands, id_type, best), "candidates")
+        if found.isEmpty():
+            break
+        more = _verified(found, docs, bands, n, id_type)
+        release(found)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            release(labels)
+            labels = components(links)
 
     names = equal.join(labels, "node", "left").select("n", "first", "second", F.coalesce("component", "node").alias("component"))
     found = rows.select("doc_id", "n", "first", "second").join(names, ["n", "first", "second"], "left")
