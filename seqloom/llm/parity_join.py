@@ -8,7 +8,7 @@ the difference changes one part at most: r + 1 parts at least are equal. Each se
 parts with the fewest members (on a tie, the first ones); of the equal parts of two similar sets, the
 last in that order is left out by neither, so an equi-join on parts loses no pair. A set also enters
 the sketch of the band below if partners there are possible. A second sketch holds one parity bit for
-each of 2 buckets a member; its Hamming distance is a lower bound of the difference too, and drops
+each of six or more buckets a member; its Hamming distance is a lower bound of the difference too, and drops
 candidates before their sets are compared exactly.
 
 Equal sets count as one node, named by its smallest doc_id. Within the sets that share a part, first
@@ -88,7 +88,7 @@ class Bands:
 
     def words(self, band: int) -> int:
         """64-bit words of parity bits of a set in the band."""
-        return int(self.ends[band]) // 32 + 1
+        return int(self.ends[band]) // 10 + 1
 
     def bits(self, members: np.ndarray, band: int) -> np.ndarray:
         """The parity bits as 64-bit words."""
