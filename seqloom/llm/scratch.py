@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seqloom/{name}-{uuid.uuid4().hex}"
 
 
+#: While a table is written: Spark deletes an execution's shuffle files when it ends, not when the driver
+#: collects its garbage; and batches for Python hold fewer rows, as rows of packed arrays can be large.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def _write(spark: SparkSession, write: Callable[[], None]) -> None:
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        write()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to the shared folder and read it back, which cuts its lineage and frees its shuffles."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    _write(spark, lambda: df.write.parquet(path))
+    out = spark.read.schema(df.schema).parquet(path)
     out._seqloom_path = path
     return out
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As materialise(), with rows in one file for each hash of a column; work by that column then needs no shuffle."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table, n = "seqloom_" + path.rsplit("-", 1)[1], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(n, column)
+    _write(spark, lambda: rows.write.bucketBy(n, column).option("path", path).format("parquet").saveAsTable(table))
+    return spark.table(table)
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete tables of materialise() that nothing reads any more."""
     for df in frames:

@@ -14,7 +14,8 @@ for its own training words, the terms of the divergence and of the number of dis
 second round adds these up for each context in the same way. So a key takes one entry a block however
 often it occurs, and no task holds more than a block or a bucket.
 
-Keys are hashes; within a bucket 48 further bits tell them apart (about 2**-56 at 1 GB).
+Keys are hashes. Words have 64 bits, so base counts are exact but for chance (2**-64 a pair). Pairs and
+triples have 40 bits within their bucket, so that one in a million or so shares its count with another.
 
 Nulls: a null text is empty and has the end token only. A null id is never learned from and counts as
 held out. Repeated rows are learned from and answered each. Nothing to learn from gives score 0 to all
@@ -31,16 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.scratch import materialise
+from seqloom.llm.scratch import bucketed, materialise
 from seqloom.llm.text import LOWER, NON_SPACE, Words, column_bytes, mix, pieces
 
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 4 << 20, 64
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 4 << 20, 64
 #: Occurrences that a state must have, and nats for each distinct next word.
 LEAST_COUNT, DIVERGENCE = 2, 2.0
 
 _END, _START = np.uint64(0x9D3F2C5A71B8E601), np.uint64(0x5B1C7E92A4D0F387)
 _STEP = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_ORDER = np.uint64(3)
 _SCHEMA = "block long, bucket int, part binary"
 
 
@@ -100,16 +100,15 @@ class Block:
         earlier[1:] = before[:-1]
         earlier[first] = _START
         keys = [token * _STEP[0], before * _STEP[1] + token * _STEP[0], earlier * _STEP[2] + before * _STEP[1] + token * _STEP[0]]
-        self.keys = [mix(k) & ~_ORDER | np.uint64(i + 1) for i, k in enumerate(keys)]
+        self.keys = [mix(k + np.uint64(i)) for i, k in enumerate(keys)]
         self.first = first
         held = self.rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         self.train = np.repeat(~held, np.diff(self.offsets))
         self.held = held
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct keys, ascending, and the place among them of each position's word, pair and triple."""
-        found, places = np.unique(np.concatenate(self.keys), return_inverse=True)
-        return found, places.reshape(3, -1)
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of words (0), pairs (1) or triples (2), ascending, and each position's place among them."""
+        return distinct(self.keys[order])
 
     def context_keys(self) -> list[np.ndarray]:
         """The key of the one and of the two words before each position; a text's first has the end token's."""
@@ -117,7 +116,7 @@ class Block:
         for k in self.keys[:2]:
             moved = np.empty_like(k)
             moved[1:] = k[:-1]
-            moved[self.first] = _START & ~_ORDER | np.uint64(len(out))
+            moved[self.first] = mix(np.array([_START + np.uint64(len(out))]))
             out.append(moved)
         return out
 
@@ -126,49 +125,109 @@ class Block:
         return np.diff(total[self.offsets])
 
 
-def _requests(block: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
-    """One row for each bucket that has any of the ascending keys; values: a row of float32 for each sum."""
-    bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse. Sorting keys' high bits with positions in the low ones is much faster
+    than sorting positions; in the rare case that high bits tie out of order, it is done the usual way."""
+    n = len(keys)
+    if n < 2:
+        return np.unique(keys, return_inverse=True)
+    width = np.uint64(int(n - 1).bit_length())
+    spare = np.uint64(max(0, 64 - int(keys.max()).bit_length()))
+    packed = np.sort((keys << spare) >> width << width | np.arange(n, dtype=np.uint64))
+    order = (packed & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
+    ordered = keys[order]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if (ordered[1:] < ordered[:-1]).any():
+        return np.unique(keys, return_inverse=True)
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Whole numbers below 256 as bytes, others as float32."""
+    short = values.astype(np.uint8)
+    return short.tobytes() if np.array_equal(short, values) else values.astype(np.float32).tobytes()
+
+
+def _numbers(raw: np.ndarray, n: int) -> np.ndarray:
+    return raw if len(raw) == n else raw.copy().view(np.float32)
+
+
+def _requests(block: int, keys: np.ndarray, values: np.ndarray, buckets: int, wide: bool = False) -> pa.Table:
+    """One row for each bucket that has any of the ascending keys; values: a row for each sum.
+
+    Buckets are equal ranges of keys. wide: keys as they are, in buckets from ``buckets`` on; else a
+    key's place in its bucket's range in 40 bits, as steps of 32 bits if all are that small."""
+    b = np.uint64(buckets)
+    high, low = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    bucket = ((high * b + (low * b >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
     names, heads = np.unique(bucket, return_index=True)
     ends = np.append(heads[1:], len(keys))
-    short = keys.view(np.uint8).reshape(-1, 8)[:, :6]  # the low 48 bits
-    parts = [short[a:b].tobytes() + np.ascontiguousarray(values[:, a:b]).tobytes() for a, b in zip(heads, ends, strict=True)]
+    inner = (keys * b) >> np.uint64(24)
+    parts = []
+    for i, j in zip(heads.tolist(), ends.tolist(), strict=True):
+        if wide:
+            own = keys[i:j].tobytes()
+        else:
+            steps = np.diff(inner[i:j], prepend=np.uint64(0))
+            own = steps.astype(np.uint32).tobytes() if steps.max() < 1 << 32 else inner[i:j].tobytes()
+        sums = [_small(v[i:j]) for v in values]
+        parts.append(b"".join([np.array([j - i, len(own), *map(len, sums)], np.uint32).tobytes(), own, *sums]))
+    names = names + buckets if wide else names
     return pa.table([pa.array(np.full(len(names), block)), pa.array(names, pa.int32()), pa.array(parts, pa.binary())], ["block", "bucket", "part"])
 
 
-def _exchange(requests: DataFrame, sums: int, answer: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[float]]]) -> DataFrame:
+def _request(raw: np.ndarray, sums: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys and values of one row of _requests()."""
+    n, *sizes = raw[: 4 * (2 + sums)].copy().view(np.uint32).tolist()
+    at = np.cumsum([4 * (2 + sums), *sizes])
+    own, *rest = (raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+    keys = np.cumsum(own.copy().view(np.uint32), dtype=np.uint64) if len(own) == 4 * n else own.copy().view(np.uint64)
+    return keys, [_numbers(v, n) for v in rest]
+
+
+def _exchange(requests: DataFrame, sums: int, buckets: int, answer: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Add the values of equal keys over all blocks, and answer each request in its order.
 
-    answer: from keys and their sums to a float32 for each key, and figures that go to block -1."""
+    answer: from the sums to a number for each key. Buckets of wide keys also tell block -1 the sum and
+    the number of the answers that are not 0."""
 
     def run(table: pa.Table) -> pa.Table:
-        raw = [np.frombuffer(p.as_buffer(), np.uint8) for p in table.column("part")]
-        sizes = [len(r) // (6 + 4 * sums) for r in raw]
-        keys = np.zeros((sum(sizes), 8), np.uint8)
-        values = np.empty((sums, sum(sizes)), np.float32)
-        at = 0
-        for r, n in zip(raw, sizes, strict=True):
-            keys[at : at + n, :6] = r[: 6 * n].reshape(n, 6)
-            values[:, at : at + n] = r[6 * n :].view(np.uint8).copy().view(np.float32).reshape(sums, n)
-            at += n
-        found, place = np.unique(keys.view(np.uint64).ravel(), return_inverse=True)
-        total = np.stack([np.bincount(place, v.astype(np.float64), len(found)) for v in values])
-        each, figures = answer(found, total)
-        each = each.astype(np.float32)[place]
-        ends = np.cumsum(sizes)
-        parts = [each[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
         bucket = table.column("bucket")[0].as_py()
+        raw = [_request(np.frombuffer(p.as_buffer(), np.uint8), sums) for p in table.column("part")]
+        keys = [k for k, _ in raw]
+        sizes = [len(k) for k in keys]
+        found, place = distinct(np.concatenate(keys))
+        total = np.stack([np.bincount(place, np.concatenate([v[i] for _, v in raw]).astype(np.float64), len(found)) for i in range(sums)])
+        single = answer(total)
+        each = single[place]
+        ends = np.cumsum(sizes)
+        parts = [_small(each[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
         out = pa.table([table.column("block"), table.column("bucket"), pa.array(parts, pa.binary())], ["block", "bucket", "part"])
-        extra = pa.table([pa.array([-1]), pa.array([bucket], pa.int32()), pa.array([np.array(figures, np.float64).tobytes()], pa.binary())], ["block", "bucket", "part"])
+        if bucket < buckets:
+            return out
+        figures = np.array([single.sum(), np.count_nonzero(single)], np.float64).tobytes()
+        extra = pa.table([pa.array([-1]), pa.array([bucket], pa.int32()), pa.array([figures], pa.binary())], ["block", "bucket", "part"])
         return pa.concat_tables([t.cast(out.schema) for t in (out, extra)])
 
     return requests.groupBy("bucket").applyInArrow(run, _SCHEMA)
 
 
-def _answers(table: pa.Table, low: int, high: int) -> np.ndarray:
-    """The answers in buckets low to high - 1, joined in order."""
-    rows = sorted((b, p) for b, p in zip(table.column("bucket").to_pylist(), table.column("part").to_pylist(), strict=True) if low <= b < high)
-    return np.frombuffer(b"".join(p for _, p in rows), np.float32).astype(np.float64)
+def _answers(table: pa.Table, low: int, high: int, heads: np.ndarray) -> np.ndarray:
+    """The answers in buckets low to high - 1, joined in order; heads: how many keys each bucket was asked."""
+    rows = sorted((b, i) for i, b in enumerate(table.column("bucket").to_pylist()) if low <= b < high)
+    column = table.column("part")
+    parts = [_numbers(np.frombuffer(column[i].as_buffer(), np.uint8), heads[b - low]) for b, i in rows]
+    return np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
+
+
+def _asked(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """How many of the keys are in each bucket."""
+    b = np.uint64(buckets)
+    high, low = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    return np.bincount(((high * b + (low * b >> np.uint64(32))) >> np.uint64(32)).astype(np.int64), minlength=buckets)
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -180,8 +239,10 @@ class _Counted:
 
     def __init__(self, table: pa.Table, buckets: int) -> None:
         self.block = Block(_packed(table))
-        _, place = self.block.grams()
-        self.counts = _answers(table, 0, buckets)[place]
+        self.counts = []
+        for order, low in enumerate((buckets, 0, 3 * buckets)):
+            keys, place = self.block.grams(order)
+            self.counts.append(_answers(table, low, low + buckets, _asked(keys, buckets))[place])
         documents = self.counts[0][self.block.offsets[1:] - 1]  # the end token's count
         self.before = []
         for c in self.counts[:2]:
@@ -194,34 +255,47 @@ class _Counted:
         """The distinct keys of contexts that occur often enough; where these are, their places among the keys."""
         often = [b >= LEAST_COUNT for b in self.before]
         both = [k[o] for k, o in zip(self.block.context_keys(), often, strict=True)]
-        found, place = np.unique(np.concatenate(both), return_inverse=True)
+        found, place = distinct(np.concatenate(both))
         return found, often, [place[: len(both[0])], place[len(both[0]) :]]
 
 
+def _moved(answers: DataFrame, by: int) -> DataFrame:
+    return answers.select("block", (F.col("bucket") + by).alias("bucket"), "part")
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    packed = materialise(blocks(docs), "blocks")
+    packed = bucketed(blocks(docs), "blocks", "block")
     size = packed.agg(F.sum("size")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(size) // BUCKET_BYTES)
     texts = packed.select("block", "bucket", "part")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, part in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                block = Block(part.as_buffer())
-                keys, place = block.grams()
-                own = np.bincount(place.ravel(), np.tile(block.train, 3), len(keys)).astype(np.float32)
-                yield from _requests(number, keys, own[None], buckets).to_batches()
+    def visit(answers: DataFrame, act: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+        """Each block with the answers to it. Blocks are stored by bucket, so that only answers are shuffled."""
+
+        def run(block: pa.Table, answered: pa.Table) -> pa.Table:
+            return act(pa.concat_tables([block, answered.cast(block.schema)]))
 
-    def counted(keys: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, list[float]]:
-        words = (keys & _ORDER) == 1
-        return total[0], [total[0][words].sum(), np.count_nonzero(total[0][words])]
+        return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
-    counts = materialise(_exchange(texts.mapInArrow(ask, _SCHEMA), 1, counted), "counts")
+    def ask(*orders: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, part in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                    block = Block(part.as_buffer())
+                    for order in orders:
+                        keys, place = block.grams(order)
+                        own = np.bincount(place, block.train, len(keys))
+                        yield from _requests(number, keys, own[None], buckets, order == 0).to_batches()
+
+        return _exchange(texts.mapInArrow(run, _SCHEMA), 1, buckets, lambda total: total[0])
+
+    # answers on pairs are in buckets from 0, on words from ``buckets``, on contexts from twice that, on triples from thrice
+    counts, triples = materialise(ask(0, 1), "counts"), materialise(ask(2), "triples")
     figures = [np.frombuffer(r["part"], np.float64) for r in counts.where("block = -1").select("part").collect()]
     n, v = (int(x) for x in np.sum(figures, axis=0)) if figures else (0, 0)
-    counts = counts.where("block >= 0")
+    counts = counts.where("block >= 0").unionByName(_moved(triples, 3 * buckets))
 
     def diverge(table: pa.Table) -> pa.Table:
         own = _Counted(table, buckets)
@@ -235,25 +309,25 @@ def scores(docs: DataFrame) -> DataFrame:
             values[0] += np.bincount(places[k][train], ratio, len(keys))
             values[1] += np.bincount(places[k][train], 1 / own.counts[k + 1][often[k]][train], len(keys))
             shorter = longer
-        return _requests(table.column("block")[0].as_py(), keys, values.astype(np.float32), buckets)
+        return _requests(table.column("block")[0].as_py(), keys, values, buckets)
 
-    def retained(_: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, list[float]]:
-        distinct = np.rint(total[1])
-        return np.where((distinct > 0) & (total[0] >= DIVERGENCE * distinct), distinct, 0), []
+    def retained(total: np.ndarray) -> np.ndarray:
+        following = np.rint(total[1])
+        return np.where((following > 0) & (total[0] >= DIVERGENCE * following), following, 0)
 
-    asked = texts.unionByName(counts).groupBy("block").applyInArrow(diverge, _SCHEMA)
-    states = materialise(_exchange(asked, 2, retained), "states").where("block >= 0")
+    asked = visit(counts, diverge, _SCHEMA)
+    states = materialise(_exchange(asked, 2, buckets, retained), "states")
 
     def score(table: pa.Table) -> pa.Table:
         own = _Counted(table, buckets)
         block = own.block
-        _, often, places = own.contexts()
-        distinct = _answers(table, buckets, 2 * buckets)
+        keys, often, places = own.contexts()
+        following = _answers(table, 2 * buckets, 3 * buckets, _asked(keys, buckets))
         p = (own.counts[0] + 1) / (n + v + 1)
         base = block.by_text(np.log10(p))
         for k in range(2):
             weight = np.zeros(len(p))
-            weight[often[k]] = distinct[places[k]]
+            weight[often[k]] = following[places[k]]
             p = np.where(weight > 0, (own.counts[k + 1] + weight * p) / np.maximum(own.before[k] + weight, 1), p)
         known = block.by_text((own.counts[0] > 0).astype(np.int64))
         ids = block.rows.column("doc_id")
@@ -270,6 +344,6 @@ def scores(docs: DataFrame) -> DataFrame:
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    answers = counts.unionByName(states.select("block", (F.col("bucket") + buckets).alias("bucket"), "part"))
+    answers = counts.unionByName(_moved(states, 2 * buckets))
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.unionByName(answers).groupBy("block").applyInArrow(score, schema)
+    return visit(answers, score, schema)
