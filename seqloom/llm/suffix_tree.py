@@ -17,6 +17,8 @@ often it occurs, and no task holds more than a block or a bucket.
 Keys are hashes. Words have 64 bits, so base counts are exact but for chance (2**-64 a pair). Pairs and
 triples have 40 bits within their bucket, so that one in a million or so shares its count with another.
 
+A block's sums for a context go in half precision where they are small; whole numbers are exact.
+
 Nulls: a null text is empty and has the end token only. A null id is never learned from and counts as
 held out. Repeated rows are learned from and answered each. Nothing to learn from gives score 0 to all
 texts. Empty tables give empty results; other columns are not read.
@@ -145,17 +147,19 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], place
 
 
-def _small(values: np.ndarray) -> bytes:
-    """Whole numbers below 256 as bytes, others as float32."""
+def _small(values: np.ndarray, exact: bool = True) -> bytes:
+    """Whole numbers below 256 as bytes, others as float32; inexact ones below 1024 in half precision."""
     short = values.astype(np.uint8)
-    return short.tobytes() if np.array_equal(short, values) else values.astype(np.float32).tobytes()
+    if np.array_equal(short, values):
+        return short.tobytes()
+    return values.astype(np.float32 if exact or np.abs(values).max() >= 1024 else np.float16).tobytes()
 
 
 def _numbers(raw: np.ndarray, n: int) -> np.ndarray:
-    return raw if len(raw) == n else raw.copy().view(np.float32)
+    return raw if len(raw) == n else raw.copy().view(np.float16 if len(raw) == 2 * n else np.float32)
 
 
-def _requests(block: int, keys: np.ndarray, values: np.ndarray, buckets: int, wide: bool = False) -> pa.Table:
+def _requests(block: int, keys: np.ndarray, values: np.ndarray, buckets: int, wide: bool = False, exact: bool = True) -> pa.Table:
     """One row for each bucket that has any of the ascending keys; values: a row for each sum.
 
     Buckets are equal ranges of keys. wide: keys as they are, in buckets from ``buckets`` on; else a
@@ -173,7 +177,7 @@ def _requests(block: int, keys: np.ndarray, values: np.ndarray, buckets: int, wi
         else:
             steps = np.diff(inner[i:j], prepend=np.uint64(0))
             own = steps.astype(np.uint32).tobytes() if steps.max() < 1 << 32 else inner[i:j].tobytes()
-        sums = [_small(v[i:j]) for v in values]
+        sums = [_small(v[i:j], exact) for v in values]
         parts.append(b"".join([np.array([j - i, len(own), *map(len, sums)], np.uint32).tobytes(), own, *sums]))
     names = names + buckets if wide else names
     return pa.table([pa.array(np.full(len(names), block)), pa.array(names, pa.int32()), pa.array(parts, pa.binary())], ["block", "bucket", "part"])
@@ -309,7 +313,7 @@ def scores(docs: DataFrame) -> DataFrame:
             values[0] += np.bincount(places[k][train], ratio, len(keys))
             values[1] += np.bincount(places[k][train], 1 / own.counts[k + 1][often[k]][train], len(keys))
             shorter = longer
-        return _requests(table.column("block")[0].as_py(), keys, values, buckets)
+        return _requests(table.column("block")[0].as_py(), keys, values, buckets, exact=False)
 
     def retained(total: np.ndarray) -> np.ndarray:
         following = np.rint(total[1])
