@@ -80,7 +80,14 @@ class ShardStore:
     def _written(self, df: DataFrame) -> list[dict]:
         """Write a frame and return its shards."""
         name = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
+        # else the union of groups of one partition each becomes one partition
+        key, conf = "spark.sql.unionOutputPartitioning", self.spark.conf
+        before = conf.get(key, None)
+        conf.set(key, "false")
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            conf.unset(key) if before is None else conf.set(key, before)
         files = [s for s in self.fs.listStatus(self._path(name)) if s.getPath().getName().startswith("part-")]
         return sorted(({"name": f"{name}/{s.getPath().getName()}", "bytes": s.getLen()} for s in files), key=lambda s: s["name"])
 
