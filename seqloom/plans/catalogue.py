@@ -2,6 +2,9 @@
 
 Column queries apply one operation each. Round-trip queries write the view in a file format, scan the
 files and return the rows; their SQL is the view itself.
+
+The view keeps 150 letters of each text, and the SQL of these queries holds them to that. Each query
+over the view has a twin named whole_ and its name, over all letters of each text, with SQL of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import records as R
 from seqloom.operators import chunking, pairing
-from seqloom.plans.reads_view import READS_SQL, reads
+from seqloom.plans.reads_view import READS_SQL, WHOLE_READS_SQL, is_whole, reads, whole_texts
 from seqloom.plans.workspace import new_path
 from seqloom.sources import facade, sinks
 from seqloom.sources.detect import name_format
@@ -49,14 +52,16 @@ def column(name: str, columns: Callable[[], dict[str, Column]], sql: str) -> Non
 
 
 def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second reads: the other number in the name, and the reverse complement of the last 100 bases."""
+    """The second reads: the other number in the name, and the reverse complement of the last 100 bases (of all, in whole_texts())."""
     first = reads(spark, sf_dir)
+    last = (lambda c: F.col(c)) if is_whole() else (lambda c: F.right(c, F.lit(100)))
     other = F.regexp_replace(R.read_id("name"), "/[123]$", "/2")
-    return first.select("rec_idx", other.alias("name"), R.reverse_complement(F.right("sequence", F.lit(100))).alias("sequence"), F.reverse(F.right("qualities", F.lit(100))).alias("qualities"))
+    return first.select("rec_idx", other.alias("name"), R.reverse_complement(last("sequence")).alias("sequence"), F.reverse(last("qualities")).alias("qualities"))
 
 
 _MATES = f"""SELECT rec_idx, regexp_replace({_ID.format("name")}, '/[123]$', '/2') AS name,
   {_REVCOMP.format("right(sequence, 100)")} AS sequence, reverse(right(qualities, 100)) AS qualities FROM reads"""
+_WHOLE_MATES = _MATES.replace("right(sequence, 100)", "sequence").replace("right(qualities, 100)", "qualities")
 _PAIRS = f"""SELECT a.rec_idx, a.name AS name1, a.sequence AS sequence1, a.qualities AS qualities1,
   b.name AS name2, b.sequence AS sequence2, b.qualities AS qualities2 FROM reads a JOIN ({_MATES}) b USING (rec_idx)"""
 _ROWS = "SELECT rec_idx, name, sequence, qualities FROM reads"
@@ -338,3 +343,24 @@ def chunk_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in each chunk of 64 KiB of the view."""
     rows = reads(spark, sf_dir).withColumn("file", F.lit("reads"))
     return chunking.chunks(rows, 64 << 10).groupBy("chunk").agg(F.count("*").alias("n_records"))
+
+
+# twins over whole texts
+
+#: Queries that do not read the view.
+_NO_VIEW = {"ascii_check", "detect_format_names", "bam_nibble_decode"}
+
+
+def _whole(name: str, f: Query) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with whole_texts():
+            return f(spark, sf_dir)
+
+    QUERIES[f"whole_{name}"] = run
+    if name in SQL:
+        SQL[f"whole_{name}"] = SQL[name].replace(READS_SQL, WHOLE_READS_SQL).replace(_MATES, _WHOLE_MATES)
+
+
+for _name, _f in list(QUERIES.items()):
+    if _name not in _NO_VIEW:
+        _whole(_name, _f)
