@@ -1,11 +1,15 @@
 """Operator 8: quality rules by robust multivariate outliers (minimum covariance determinant).
 
 Each text gives a vector of transformed statistics. For each language and source (and, for groups with
-too few texts, each language, and all texts) concentration steps find the part of the texts whose
-covariance has a small determinant: centre and covariance of the current part, squared Mahalanobis
-distances of all texts, and the nearest COVERAGE of them as the next part. Parts are found by a
-quantile of the distances and described by sums, so that a step is one aggregation with partial sums
-and no group is ever gathered in a task. All texts take part; there is no sampling.
+too few texts, each language, and all texts) concentration steps find the half of the texts whose
+covariance has the least determinant: centre and covariance of the current half, squared Mahalanobis
+distances of all texts, and the nearest COVERAGE of them as the next one. Steps go on from each of
+three starts (medians and quartiles; the shortest halves of each statistic; softly cut statistics) until
+the determinant falls no more, and the start with the least one counts. So a group may have nearly half
+bad texts. Then all texts within the GOOD quantile of the half's distances give the final centre and
+covariance; the scale is from the median distance of all texts. Parts are found by a quantile of the distances and described by sums, so that a
+step is two aggregations with partial sums and no group is ever gathered in a task. All texts take part;
+there is no sampling.
 
 Nulls: a null text has no words (and fails the base rule); null language and source form groups of
 their own. Texts that fail the base rule take no part in the estimates. Repeated rows count each.
@@ -14,6 +18,7 @@ Empty tables give empty results; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -25,8 +30,10 @@ from pyspark.sql import functions as F
 from seqloom.llm.scratch import materialise, release
 from seqloom.llm.text import NON_SPACE, Words, column_bytes, mix, pieces, windows
 
-#: Part of the texts that the estimates rest on, concentration steps, texts that a group must have.
-COVERAGE, STEPS, LEAST_GROUP = 0.75, 3, 100
+#: Part of the texts that the steps rest on, texts that a group must have.
+COVERAGE, LEAST_GROUP = 0.5, 100
+#: Fall of the determinant's logarithm below which steps end, quantile up to which texts count as good.
+SETTLED, GOOD = 1e-3, 0.975
 #: Chance that a text of a normal group lies beyond the bound, and the factor for heavier tails than normal.
 TAIL, HEAVY = 1e-6, 6.0
 #: The symbols that are counted.
@@ -34,6 +41,8 @@ SYMBOLS = b"#*$%&|<>"
 #: The statistics, and the least standard deviation that each counts as having.
 FEATURES = {"words": 0.5, "word_length": 0.1, "length_spread": 0.2, "symbols": 0.3, "dup_lines": 0.8, "repeats": 1.0, "digits": 0.6, "capitals": 0.4}
 
+MODEL = "group string, start int, center array<double>, inverse array<double>, logdet double"
+_ARROW_MODEL = pa.schema([("group", pa.string()), ("start", pa.int32()), ("center", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64())), ("logdet", pa.float64())])
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -149,17 +158,17 @@ def _distance(p: int) -> Column:
 
 
 def _estimate(part: DataFrame, p: int) -> DataFrame:
-    """group, center, inverse from the sums over each group's part."""
+    """group, start, center, inverse, logdet from the sums over the part of each group and start."""
     sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(p)]
     products = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}_{j}") for i in range(p) for j in range(i + 1)]
-    found = part.groupBy("group").agg(F.count("*").alias("n"), *sums, *products)
+    found = part.groupBy("group", "start").agg(F.count("*").alias("n"), *sums, *products)
     floor = np.diag(np.square(list(FEATURES.values())))
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]).astype(float)
-            centers, inverses = [], []
+            table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]).astype(float)
+            centers, inverses, logs = [], [], []
             for row in table:
                 center = row[1 : 1 + p] / row[0]
                 cov = np.zeros((p, p))
@@ -167,46 +176,101 @@ def _estimate(part: DataFrame, p: int) -> DataFrame:
                     cov[i, j] = cov[j, i] = q / row[0] - center[i] * center[j]
                 centers.append(center.tolist())
                 inverses.append(np.linalg.inv(cov + floor).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(centers, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], ["group", "center", "inverse"])
+                logs.append(np.linalg.slogdet(cov + floor)[1])
+            doubles = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(centers, doubles), pa.array(inverses, doubles), pa.array(logs, pa.float64())], ["group", "start", "center", "inverse", "logdet"]
+            )
+
+    return found.mapInArrow(run, MODEL)
+
+
+def _used(good: DataFrame, least: int) -> DataFrame:
+    """The groups that are the finest one with enough texts for some text."""
+    levels = good.select(_levels().alias("l")).groupBy("l").agg(F.count("*").alias("n"))
+    lang = levels.groupBy(F.col("l")[1].alias("lang")).agg(F.sum("n").alias("m"))
+    level = F.when(F.col("n") >= least, 0).when(F.col("m") >= least, 1).otherwise(2)
+    return levels.join(lang, F.col("l")[1] == F.col("lang")).select(F.get("l", level).alias("group")).distinct()
 
-    return found.mapInArrow(run, "group string, center array<double>, inverse array<double>")
 
+def _starts(rows: DataFrame, p: int) -> DataFrame:
+    """The three starts of each group, as of _estimate()."""
+    grid = F.array(*(F.lit(k / 20) for k in range(21)))
+    found = rows.groupBy("group").agg(*(F.percentile_approx(F.col("x")[i], grid, 1000).alias(f"f{i}") for i in range(p)))
+    floors = np.array(list(FEATURES.values()))
 
-def fit(described: DataFrame, steps: int = STEPS, coverage: float = COVERAGE, least: int = LEAST_GROUP) -> DataFrame:
-    """group, center, inverse, scale and bound for each group with enough texts, and for all texts.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                q = np.array([row[f"f{i}"] for i in range(p)])
+                width = q[:, 10:] - q[:, :11]
+                at = width.argmin(1)
+                low = np.take_along_axis(q, at[:, None], 1)[:, 0]
+                short = width.min(1)
+                for k, (center, spread) in enumerate(((q[:, 10], q[:, 15] - q[:, 5]), (low + short / 2, short))):
+                    inverse = np.diag(np.maximum(spread / 1.349, floors) ** -2.0)
+                    out.append((row["group"], k, center.tolist(), inverse.ravel().tolist(), math.inf))
+            yield pa.RecordBatch.from_pylist([dict(zip(("group", "start", "center", "inverse", "logdet"), r, strict=True)) for r in out], schema=_ARROW_MODEL)
+
+    first = materialise(found.mapInArrow(run, MODEL), "mcd")
+    z = [(F.col("x")[i] - F.col("center")[i], F.sqrt(F.col("inverse")[i * p + i])) for i in range(p)]
+    cut = F.array(*(F.col("center")[i] + F.tanh(d * s) / s for i, (d, s) in enumerate(z)))
+    soft = rows.join(first.where("start = 0"), "group").select("group", F.lit(2).alias("start"), cut.alias("x"))
+    both = materialise(first.unionByName(_estimate(soft, p).withColumn("logdet", F.lit(math.inf))), "mcd")
+    release(first)
+    return both
+
+
+def _step(rows: DataFrame, model: DataFrame, p: int, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """Estimates from the nearest texts of each group and start, and the table of distances to be released."""
+    near = rows.join(model, "group").select("group", "start", "x", _distance(p).alias("d2"))
+    cut = materialise(near.groupBy("group", "start").agg(F.percentile_approx("d2", coverage, 1000).alias("cut")), "cut")
+    return _estimate(near.join(cut, ["group", "start"]).where("d2 <= cut").select("group", "start", "x"), p), cut
+
+
+def _least_determinant(rows: DataFrame, p: int, coverage: float) -> DataFrame:
+    """The estimate with the least determinant of each group, over all starts, each taken until it settles."""
+    active, settled = _starts(rows, p), []
+    while True:
+        new, cut = _step(rows, active, p, coverage)
+        # a start that settles keeps the smaller determinant of its last two
+        old = active.select("group", "start", *(F.col(c).alias(f"old_{c}") for c in ("center", "inverse", "logdet")))
+        met = new.join(old, ["group", "start"])
+        worse = F.col("old_logdet") < F.col("logdet")
+        best = [F.when(worse, F.col(f"old_{c}")).otherwise(F.col(c)).alias(c) for c in ("center", "inverse", "logdet")]
+        both = materialise(met.select("group", "start", *best, (F.col("old_logdet") - F.col("logdet") > SETTLED).alias("falls")), "mcd")
+        release(active, cut)
+        settled.append(both.where("not falls").drop("falls"))
+        active = both.where("falls").drop("falls")
+        if active.isEmpty():
+            break
+    every = functools.reduce(DataFrame.unionByName, settled)
+    best = F.min_by(F.struct("start", "center", "inverse", "logdet"), F.struct("logdet", "start"))
+    return materialise(every.groupBy("group").agg(best.alias("b")).select("group", "b.*"), "mcd")
+
+
+def fit(described: DataFrame, coverage: float = COVERAGE, least: int = LEAST_GROUP) -> DataFrame:
+    """group, center, inverse, scale and bound for each group that is the finest with enough texts (or all texts) for some text.
 
     described: lang, source, x and base_failed, as of counts(). Distances are divided by ``scale`` so
     that their median is that of a chi-squared variable; a text is an outlier beyond ``bound``.
     """
     p = len(FEATURES)
-    rows = described.where(~F.col("base_failed")).select(F.explode(_levels()).alias("group"), "x")
-    sizes = rows.groupBy("group").agg(
-        F.count("*").alias("n"), *(F.percentile_approx(F.col("x")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"f{i}") for i in range(p))
-    )
-    floors = list(FEATURES.values())
-    spread = [F.greatest((F.col(f"f{i}")[2] - F.col(f"f{i}")[0]) / 1.349, F.lit(floors[i])) for i in range(p)]
-    model = materialise(
-        sizes.where((F.col("n") >= least) | (F.col("group") == "all")).select(
-            "group",
-            F.array(*(F.col(f"f{i}")[1] for i in range(p))).alias("center"),
-            F.array(*(1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("inverse"),
-        ),
-        "mcd",
-    )
-    for _ in range(steps):
-        near = rows.join(model, "group").select("group", "x", _distance(p).alias("d2"))
-        cut = near.groupBy("group").agg(F.percentile_approx("d2", coverage, 1000).alias("cut"))
-        part = near.join(cut, "group").where("d2 <= cut").select("group", "x")
-        model, old = materialise(_estimate(part, p), "mcd"), model
-        release(old)
-    final = rows.join(model, "group").select("group", _distance(p).alias("d2")).groupBy("group").agg(F.percentile_approx("d2", 0.5, 1000).alias("median"))
-    normal = _chi_square(p, 1 - TAIL)
-    return (
-        model.join(final, "group")
-        .withColumn("scale", F.greatest(F.col("median") / _chi_square(p, 0.5), F.lit(1e-9)))
-        .withColumn("bound", F.lit(HEAVY * normal))
-        .drop("median")
-    )
+    good = described.where(~F.col("base_failed"))
+    rows = materialise(good.select(F.explode(_levels()).alias("group"), "x").join(F.broadcast(_used(good, least)), "group", "left_semi"), "rows")
+    raw = _least_determinant(rows, p, coverage)
+
+    def scaled(model: DataFrame) -> DataFrame:
+        median = rows.join(model, "group").select("group", _distance(p).alias("d2")).groupBy("group").agg(F.percentile_approx("d2", 0.5, 1000).alias("median"))
+        return materialise(model.join(median, "group").withColumn("scale", F.greatest(F.col("median") / _chi_square(p, 0.5), F.lit(1e-9))).drop("median"), "mcd")
+
+    first = scaled(raw)
+    inside = rows.join(first, "group").where(_distance(p) <= F.col("scale") * _chi_square(p, GOOD)).select("group", "start", "x")
+    model = materialise(_estimate(inside, p), "mcd")
+    out = scaled(model)
+    release(raw, first, model)
+    return out.select("group", "center", "inverse", "scale", F.lit(HEAVY * _chi_square(p, 1 - TAIL)).alias("bound"))
 
 
 def judge(described: DataFrame, model: DataFrame) -> DataFrame:

@@ -318,6 +318,24 @@ def test_op8_outliers(spark):
     assert all(r["kept"] == (r["doc_id"] % 20 != 0) for r in got)
 
 
+@pytest.mark.parametrize("bad", [0.25, 0.34, 0.42])
+def test_op8_many_bad(spark, bad):
+    """A group with a third or more of bad texts: all of them go, and no plain one does."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"word{chr(97 + i % 26)}{i}" for i in range(3000)]
+    rows, spoilt = [], set()
+    for i in range(600):
+        w = rng.choices(words, k=rng.randint(80, 300))
+        if i < 600 * bad:
+            w = [x + rng.choice(["###", "$$$", "%%%"]) for x in w]
+            spoilt.add(i)
+        rows.append((i, " ".join(w), "en", "s"))
+    got = robust_outliers.outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r["doc_id"] for r in got if not r["kept"]} == spoilt
+
+
 def test_op9(spark):
     import base64
 
