@@ -6,13 +6,16 @@ statistics are standard normal: the chi-squared statistic of symbol counts (by W
 cube root), the number of runs above and below the middle symbol, and the lag-one serial correlation.
 The sum of their squares is small for random strings and large for words.
 
-Candidates that are plain words give the null distribution of that sum for each k, their letters taken
-modulo k. False discovery is controlled for each encoding and length band on its own (Benjamini and
-Hochberg): a longer string is held against words of its own band and of shorter ones, which is the
-safe side, as the tests grow stronger with length. Bands with too few words for the level find nothing.
+The null distribution of that sum is a fixed one that no corpus changes: REFERENCE strings for each k,
+of letters drawn one by one with English frequencies (in base 64 as words with capitals, separators and
+numbers; for smaller alphabets modulo k), all of the least length of a band. That is the safe side, as
+the tests grow stronger with length, and as real words repeat more than single letters do. A string's
+p-value is its place among these; false discovery is controlled on them for each encoding and length
+band on its own (Benjamini and Hochberg). Strings of letters that are lower-case after the first are an
+encoding too, with k = 26.
 
-Only DataFrame functions are used. The counts by encoding, band and score are at most a few thousand
-rows; the bounds found from them, at most one for each encoding and band, come to the driver.
+Only DataFrame functions touch the texts. The counts by encoding, band and score, which are at most a
+few ten thousand rows of numbers however large the corpus is, come to the driver.
 
 Nulls: a null text is empty and has no span. Positions are code points, ends exclusive. Repeated rows
 are answered each. Empty tables give empty results; other columns are not read.
@@ -20,9 +23,11 @@ are answered each. Empty tables give empty results; other columns are not read.
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: The base patterns, and the least length of what they must find.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,15 +36,19 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
 #: Kinds in the order in which they are listed at one start.
 KINDS = ("assign", "access", "hex", "random")
-#: What may be an encoded secret, and what counts as a plain word among those.
+#: What may be an encoded secret, and which of those are of the 26 letters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WORD = r"^[A-Za-z][a-z]+$"
 #: Alphabet sizes, tested in order; 64 takes what is left.
-DECIMAL, HEXADECIMAL, BASE32, BASE64 = 10, 16, 32, 64
+DECIMAL, HEXADECIMAL, LETTERS, BASE32, BASE64 = 10, 16, 26, 32, 64
 SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"
 #: Where length bands begin, how finely scores are counted, the largest one counted, the false-discovery rate.
 BANDS, FINE, TOP, RATE = (20, 24, 32, 48, 96), 4, 400, 0.05
 
+#: Strings of the reference for each alphabet and band, and the frequencies of a to z in them, in ten thousands.
+REFERENCE = 20_000
+ENGLISH = (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7)
+
 _SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
 
 
@@ -64,6 +73,7 @@ def _alphabet(token: Column) -> Column:
     return (
         F.when(token.rlike("^[0-9]+$"), DECIMAL)
         .when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), HEXADECIMAL)
+        .when(token.rlike(WORD), LETTERS)
         .when(token.rlike("^[A-Z2-7]+=*$"), BASE32)
         .otherwise(BASE64)
     )
@@ -75,8 +85,13 @@ def _band(token: Column) -> Column:
 
 def score(token: Column, k: Column) -> Column:
     """The sum of squares of the three statistics, under uniform draws from k symbols."""
+    # k is bound once, so that lambdas do not infer it from the whole token at each symbol
+    return F.transform(F.array(k), lambda one: _score(token, one))[0]
+
+
+def _score(token: Column, k: Column) -> Column:
     plain = F.translate(token, "-_", "+/")
-    plain = F.when(k == HEXADECIMAL, F.lower(plain)).otherwise(F.regexp_replace(plain, "=+", ""))
+    plain = F.when((k == HEXADECIMAL) | (k == LETTERS), F.lower(plain)).otherwise(F.regexp_replace(plain, "=+", ""))
     letters = F.filter(F.split(plain, ""), lambda c: c != "")
     v = F.transform(letters, lambda c: F.pmod(F.instr(F.lit(SYMBOLS), c) - 1, k))
     k = k.cast("double")
@@ -108,23 +123,51 @@ def _fine(value: Column) -> Column:
     return F.least(F.floor(value * FINE), F.lit(TOP * FINE)).cast("int")
 
 
+def _scores(v: np.ndarray, k: int) -> np.ndarray:
+    """score() of each row of symbol numbers."""
+    m, n = v.shape
+    mid, free = (k - 1) / 2, k - 1
+    counts = np.bincount((v + k * np.arange(m)[:, None]).ravel(), minlength=m * k).reshape(m, k)
+    chi = np.maximum(k / n * np.square(counts).sum(1) - n, 0)
+    z_chi = (np.cbrt(chi / free) - (1 - 2 / (9 * free))) / np.sqrt(2 / (9 * free))
+    high = v > mid
+    z_runs = (1 + (high[:, 1:] != high[:, :-1]).sum(1) - (n + 1) / 2) / np.sqrt((n - 1) / 4)
+    z_serial = ((v[:, 1:] - mid) * (v[:, :-1] - mid)).sum(1) / ((k * k - 1) / 12) / np.sqrt(n - 1)
+    return z_chi**2 + z_runs**2 + z_serial**2
+
+
+@functools.cache
+def reference(k: int, band: int) -> np.ndarray:
+    """The sorted scores (in steps of 1 / FINE) of the reference strings."""
+    rng = np.random.default_rng(1000 * k + band)
+    shape = (REFERENCE, BANDS[band])
+    letters = rng.choice(26, shape, p=np.array(ENGLISH) / sum(ENGLISH))
+    v = letters + (36 if k == BASE32 else 10)
+    if k == BASE64:
+        # words begin at one place in six, by a capital, a separator or a digit in equal parts; a third of the strings have none
+        begins = (rng.random(shape) < 1 / 6) & (rng.random(REFERENCE) < 2 / 3)[:, None]
+        kind = rng.integers(0, 3, shape)
+        start = np.where(kind == 0, letters + 36, np.where(kind == 1, rng.integers(62, 64, shape), rng.integers(0, 10, shape)))
+        v = np.where(begins, start, v)
+    return np.sort(np.minimum(np.floor(_scores(v % k, k) * FINE), TOP * FINE).astype(int))
+
+
 def bounds(docs: DataFrame, rate: float = RATE) -> dict[tuple[int, int], int]:
     """The largest score (in steps of 1 / FINE) that counts as random, by alphabet size and length band."""
     tokens = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CANDIDATE), F.lit(0))).alias("token"))
-    tokens = tokens.withColumn("word", F.col("token").rlike(WORD)).withColumn(
-        "sizes", F.when(F.col("word"), F.array(*(F.lit(k) for k in (DECIMAL, HEXADECIMAL, BASE32, BASE64)))).otherwise(F.array(_alphabet(F.col("token"))))
-    )
-    scored = tokens.select("word", "token", F.explode("sizes").alias("k")).select("word", "k", _band(F.col("token")).alias("own"), _fine(score(F.col("token"), F.col("k"))).alias("step"))
-    counted = scored.groupBy("k", "own", "step").agg(F.sum(F.col("word").cast("long")).alias("words"), F.sum((~F.col("word")).cast("long")).alias("strings"))
-    # a word is held against all strings of its band and of longer ones
-    bands = F.explode(F.sequence(F.col("own"), F.lit(len(BANDS) - 1))).alias("band")
-    spread = counted.select("k", "own", "step", "words", "strings", bands).withColumn("strings", F.when(F.col("band") == F.col("own"), F.col("strings")).otherwise(0))
-    spread = spread.groupBy("k", "band", "step").agg(F.sum("words").alias("words"), F.sum("strings").alias("strings"))
-    upto = Window.partitionBy("k", "band").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("k", "band")
-    chance = (1 + F.sum("words").over(upto)) / (1 + F.sum("words").over(whole))
-    steps = spread.select("k", "band", "step", (chance * F.sum("strings").over(whole) <= rate * F.sum("strings").over(upto)).alias("ok"))
-    return {(r["k"], r["band"]): r["step"] for r in steps.where("ok").groupBy("k", "band").agg(F.max("step").alias("step")).collect()}
+    k = _alphabet(F.col("token"))
+    scored = tokens.select(k.alias("k"), _band(F.col("token")).alias("band"), _fine(score(F.col("token"), k)).alias("step"))
+    counted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in scored.groupBy("k", "band", "step").agg(F.count("*").alias("n")).collect():
+        counted.setdefault((r["k"], r["band"]), []).append((r["step"], r["n"]))
+    out = {}
+    for key, found in counted.items():
+        steps, n = np.array(sorted(found)).T
+        chance = (1 + np.searchsorted(reference(*key), steps, "right")) / (1 + REFERENCE)
+        ok = chance * n.sum() <= rate * np.cumsum(n)
+        if ok.any():
+            out[key] = int(steps[ok].max())
+    return out
 
 
 def find(docs: DataFrame, rate: float = RATE) -> DataFrame:
@@ -145,7 +188,7 @@ def find(docs: DataFrame, rate: float = RATE) -> DataFrame:
         return F.coalesce(_fine(score(s["text"], k)) <= most[k * 100 + _band(s["text"])], F.lit(False))
 
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    strings = F.filter(_spans(F.col("text"), CANDIDATE, 3), lambda s: ~s["text"].rlike(WORD))
+    strings = _spans(F.col("text"), CANDIDATE, 3)
     more = F.when(F.col("text").rlike(CANDIDATE), F.filter(F.filter(strings, clear), random)).otherwise(none)
     return rows.withColumn("found", F.array_sort(F.concat("base", more)))
 

@@ -232,6 +232,23 @@ def test_op6_randomness(spark):
     assert all(r["spans"] == "random:4:44" for r in found if r["doc_id"] in keys)
 
 
+def test_op6_few_words(spark):
+    """Random keys, lower-case ones too, are found among long paths where no plain word is; the paths are not."""
+    import random
+
+    rng = random.Random(6)
+    base64 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    words = ["under", "local", "share", "python", "module", "config", "server", "window", "report", "search"]
+    texts = ["/".join(rng.choices(words, k=6)) for _ in range(60)]
+    texts += ["".join(rng.choices(base64, k=40)) for _ in range(20)]
+    texts += ["".join(rng.choices(base64[:26], k=200)) for _ in range(20)]
+    found = randomness.digests(spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(texts)], "doc_id long, text string"))
+    hit = {r["doc_id"] for r in found.where("spans <> ''").collect()}
+    assert len(hit & set(range(60))) <= 2
+    assert len(hit & set(range(60, 80))) >= 18
+    assert len(hit & set(range(80, 100))) >= 18
+
+
 @pytest.mark.parametrize(("n", "above"), [(4, 85), (5, 80)])
 def test_op7(spark, n, above):
     sets = {}
