@@ -8,8 +8,13 @@ the difference changes one part at most: r + 1 parts at least are equal. Each se
 parts with the fewest members (on a tie, the first ones); of the equal parts of two similar sets, the
 last in that order is left out by neither, so an equi-join on parts loses no pair. A set also enters
 the sketch of the band below if partners there are possible. A second sketch holds one parity bit for
-each of six or more buckets a member; its Hamming distance is a lower bound of the difference too, and drops
-candidates before their sets are compared exactly.
+each of four to eight buckets a member, a power of two in all, so that a larger one folds to the size of
+a smaller one; its Hamming distance is a lower bound of the difference too, and drops candidates before
+their sets are compared exactly.
+
+The part keys are grouped in SLICES runs, each over the keys of one remainder, as shuffles of all of them
+at once are what takes the most disk. Only keys of two nodes or more are kept, and of keys with the very
+same nodes (known by two XORs of their hashes) one.
 
 Equal sets count as one node, named by its smallest doc_id. Within the sets that share a part, first
 each meets the one with the most neighbours. Where that leaves more than one component, the sets
@@ -19,29 +24,36 @@ no task holds more than two blocks, pairs are not listed within a group, and any
 link either are compared or are known to be connected. A first such round takes each set's best
 candidate only, which connects most of what is left; the last round takes all that pass.
 
-Shingles of candidates are made anew from the texts. A bitmap of fixed size over their ids lets the
-scan pass by other texts; where ids are too many for it, more texts pass, and the result is the same.
+Candidates are compared from their texts: pairs are dealt by their first end, at most about CELL to one
+task's cell, and each cell gets that end's text once and the other ends' texts, packed. A bitmap of fixed
+size over the candidates' ids lets the scan pass by other texts; where ids are too many for it, more texts
+pass, and the result is the same.
 
 Nulls: a text that is null or has no words has an empty set and is linked with nothing; a null doc_id
 is linked only if texts of its very set have ids. Repeated rows count as copies; rows with one doc_id
-are one node. Empty tables give empty results; other columns are not read.
+are one node. Texts of any length are taken whole; a task holds the sets of a few texts at a time. Empty
+tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
 from seqloom.llm.scratch import materialise, release
-from seqloom.llm.text import LOWER, NON_SPACE, Words, column_bytes, mix, pieces, windows
+from seqloom.llm.text import LOWER, NON_SPACE, PIECE_BYTES, Words, column_bytes, mix, pieces, windows
 
 #: Ratio of the bounds of a size band; parts left out, as a share of d.
-BAND, SPARE = 1.3, 0.25
+BAND, SPARE = 1.5, 0.25
+#: Runs in which keys are grouped, pairs with one first end in a cell, least parity bits a member.
+SLICES, CELL, BITS = 4, 512, 4
 #: Sets in a block of a part's members (on average, as they are dealt by hash); words of parity bits compared at once.
 BLOCK, WORDS = 2048, 1 << 20
 #: Pairs that are compared at once, and bits of the bitmap of ids (4 MB).
@@ -86,17 +98,26 @@ class Bands:
         kept = np.argsort(np.bincount(part, minlength=parts), kind="stable")[spare:]
         return mix(sketch[kept] ^ mix(kept.astype(np.uint64) * np.uint64(4096) + np.uint64(band)))
 
-    def words(self, band: int) -> int:
-        """64-bit words of parity bits of a set in the band."""
-        return int(self.ends[band]) // 10 + 1
+    def most(self, small: np.ndarray | int, large: np.ndarray | int) -> np.ndarray | int:
+        """The largest difference of similar sets of these sizes."""
+        return (self.below - self.above) * (small + large) // (self.below + self.above)
+
+
+def parity(members: np.ndarray) -> np.ndarray:
+    """The parity bits of a set as 64-bit words, a power of two of them."""
+    size = 64
+    while size < BITS * len(members):
+        size *= 2
+    odd = np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
-    def bits(self, members: np.ndarray, band: int) -> np.ndarray:
-        """The parity bits as 64-bit words."""
-        size = 64 * self.words(band)
-        at = ((members & np.uint64(0xFFFFFFFF)) % np.uint64(size)).astype(np.int64)
-        words = np.zeros(size // 64, np.uint64)
-        np.bitwise_xor.at(words, at >> 6, _ONE << (at & 63).astype(np.uint64))
-        return words
+
+def fold(words: np.ndarray, size: int) -> np.ndarray:
+    """Parity bits (in the last dimension) as those of a smaller sketch."""
+    while words.shape[-1] > size:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
 
 
 def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -123,7 +144,7 @@ def _pack(values: list[np.ndarray]) -> pa.Array:
 
 
 def describe(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
-    """doc_id, the set's size and 128-bit signature, the keys of its parts, its parity bits by band."""
+    """doc_id, the set's size and 128-bit signature, the keys of its parts, its parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -134,7 +155,7 @@ def describe(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
                 second.append(int(np.bitwise_xor.reduce(mix(members + _ONE)).view(np.int64)) if len(members) else 0)
                 own = bands.bands_of(len(members)) if len(members) else []
                 keys.append(np.concatenate([bands.keys(members, b) for b in own]) if own else np.zeros(0, np.uint64))
-                bits.append(np.concatenate([bands.bits(members, b) for b in own]) if own else np.zeros(0, np.uint64))
+                bits.append(parity(members))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), _pack(keys), _pack(bits)],
                 ["doc_id", "n", "first", "second", "keys", "bits"],
@@ -144,18 +165,42 @@ def describe(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, first long, second long, keys binary, bits binary")
 
 
-def _part_rows(nodes: DataFrame) -> DataFrame:
-    """key, node, n: a row for each part that a node does not leave out."""
+def _part_rows(sketches: DataFrame, part: int) -> DataFrame:
+    """key, node, n: a row for each key of one remainder of a set's parts that are not left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                keys = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
-                times = pa.array(np.repeat(np.arange(part.num_rows), [len(k) for k in keys]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(times), part.column(1).take(times)], ["key", "node", "n"])
+                rows = batch.slice(low, 256)
+                keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(2)]
+                keys = [k[k % np.uint64(SLICES) == part] for k in keys]
+                times = pa.array(np.repeat(np.arange(rows.num_rows), [len(k) for k in keys]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), rows.column(0).take(times), rows.column(1).take(times)], ["key", "node", "n"])
+
+    known = sketches.where(F.length("keys") > 0).select(F.col("doc_id").alias("node"), "n", "keys")
+    return known.mapInArrow(run, f"key long, node {sketches.schema['doc_id'].dataType.simpleString()}, n long")
 
-    return nodes.select("node", "n", "keys").mapInArrow(run, f"key long, node {nodes.schema['node'].dataType.simpleString()}, n long")
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose key is in two rows or more, and in how many (c)."""
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key")
+
+
+def _met(sketches: DataFrame, named: DataFrame) -> DataFrame:
+    """key, node, n, c: the part rows of named nodes (node) whose key two of these have.
+
+    Texts with one set have all of their keys in common; only one of them is named."""
+    found = []
+    for part in range(SLICES):
+        some = materialise(_shared(_part_rows(sketches, part)).join(named, "node", "left_semi").drop("c"), "parts")
+        found.append(materialise(_shared(some), "parts"))
+        release(some)
+    every = functools.reduce(DataFrame.unionByName, found)
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    heads = every.groupBy("key").agg(F.count("*").alias("c"), *same).groupBy("c", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+    met = materialise(every.join(heads, "key", "left_semi"), "parts")
+    release(*found)
+    return met
 
 
 def _passes(pairs: DataFrame, bands: Bands, id_type: str) -> DataFrame:
@@ -163,17 +208,12 @@ def _passes(pairs: DataFrame, bands: Bands, id_type: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            most = bands.most(batch.column(2).to_numpy(), batch.column(4).to_numpy())
             keep = []
-            for row in range(batch.num_rows):
-                sides = sorted((batch.column(c)[row].as_py(), c) for c in (2, 4))
-                (small, cs), (large, cl) = sides
-                band, words = bands.band(small), []
-                for size, c in ((small, cs), (large, cl)):
-                    skip = sum(bands.words(b) for b in bands.bands_of(size) if b < band)
-                    own = np.frombuffer(batch.column(c + 1)[row].as_buffer(), np.uint64)
-                    words.append(own[skip : skip + bands.words(band)])
-                most = (bands.below - bands.above) * small // bands.above
-                keep.append(int(np.bitwise_count(words[0] ^ words[1]).sum()) <= most)
+            for x, y, limit in zip(batch.column(3), batch.column(5), most.tolist(), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                size = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= limit)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return pairs.select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(run, f"a {id_type}, b {id_type}")
@@ -188,20 +228,15 @@ class _Cells:
         key = batch.column("key").to_numpy()
         new = (key[1:] != key[:-1]) | (self.low[1:] != self.low[:-1]) | (self.high[1:] != self.high[:-1])
         self.bounds = np.concatenate([[0], np.flatnonzero(new) + 1, [len(key)]])
-        sizes, place = np.unique(self.n, return_inverse=True)
-        lists = [bands.bands_of(int(k)) for k in sizes]
-        self.band = np.array([b[-1] for b in lists])[place]
-        bits = batch.column("bits")
-        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in bits]
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("bits")]
+        self.size = np.array([len(x) for x in raw])
         self.bits: dict[int, np.ndarray] = {}
         self.at: dict[int, np.ndarray] = {}
-        for band in np.unique(self.band).tolist():
-            skip = np.array([sum(bands.words(b) for b in x if b < band) if band in x else -1 for x in lists])[place]
-            rows = np.flatnonzero(skip >= 0)
-            size = bands.words(band)
-            self.bits[band] = np.stack([raw[i][skip[i] : skip[i] + size] for i in rows])
-            self.at[band] = np.full(len(key), -1)
-            self.at[band][rows] = np.arange(len(rows))
+        for size in np.unique(self.size).tolist():
+            rows = np.flatnonzero((self.size >= size) & (self.size <= size * 2 * bands.below // bands.above))
+            self.bits[size] = np.stack([fold(raw[i], size) for i in rows])
+            self.at[size] = np.full(len(key), -1)
+            self.at[size][rows] = np.arange(len(rows))
 
     def listed(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of rows of one cell, many cells together."""
@@ -222,20 +257,20 @@ class _Cells:
 
     def passing(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Rows and parity distance of pairs in different components that the bits allow."""
-        above, below = self.bands.above, self.bands.below
+        bands, above, below = self.bands, self.bands.above, self.bands.below
         for i, j in self.listed():
             small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
             ok = (self.own[i] != self.own[j]) & (below * small >= above * large)
             ok &= (self.low[i] == self.high[i]) | (self.block[i] != self.block[j])
-            i, j, small = i[ok], j[ok], small[ok]
-            band = np.minimum(self.band[i], self.band[j])
-            for b in np.unique(band).tolist():
-                here = np.flatnonzero(band == b)
-                step = max(1, WORDS // self.bits[b].shape[1])
+            i, j, most = i[ok], j[ok], bands.most(small[ok], large[ok])
+            size = np.minimum(self.size[i], self.size[j])
+            for b in np.unique(size).tolist():
+                here = np.flatnonzero(size == b)
+                step = max(1, WORDS // b)
                 for low in range(0, len(here), step):
-                    x, y, m = (v[here[low : low + step]] for v in (i, j, small))
+                    x, y, limit = (v[here[low : low + step]] for v in (i, j, most))
                     distance = np.bitwise_count(self.bits[b][self.at[b][x]] ^ self.bits[b][self.at[b][y]]).sum(axis=1, dtype=np.int64)
-                    fits = distance <= (below - above) * m // above
+                    fits = distance <= limit
                     yield x[fits], y[fits], distance[fits]
 
 
@@ -314,30 +349,55 @@ def _verified(pairs: DataFrame, docs: DataFrame, bands: Bands, n: int, id_type:
     """The pairs (a, b) whose sets reach the threshold."""
     marks = docs.sparkSession.sparkContext.broadcast(_marks(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = marks.value
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, pack = marks.value, zstandard.ZstdCompressor(3).compress
         for batch in batches:
             at = batch.column(2).to_numpy()
             chosen = batch.filter(pa.array((own[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             for piece in pieces(iter([chosen]), "text"):
-                yield pa.RecordBatch.from_arrays([piece.column(0), _pack(list(sets_of(piece.column(1), n)))], ["node", "members"])
+                texts = [pack(x.as_buffer() if x.is_valid else b"") for x in piece.column(1)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(texts, pa.binary())], ["node", "text"])
 
     known = docs.select(F.col("doc_id").alias("node"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("at"))
-    sets = materialise(known.mapInArrow(members, f"node {id_type}, members binary"), "sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    texts = known.mapInArrow(packed, f"node {id_type}, text binary")
+    dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells")), "a")
+    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), "cells").alias("cell"), "b")
+    asked = dealt.select("a", "cell", F.lit(True).alias("other"), F.col("b").alias("node"))
+    asked = asked.unionByName(dealt.select("a", "cell").distinct().select("a", "cell", F.lit(False).alias("other"), F.col("a").alias("node")))
+    cells = asked.join(texts, "node").repartition("a", "cell").sortWithinPartitions("a", "cell", "other").select("a", "cell", "other", "node", "text")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, cell, firsts = zstandard.ZstdDecompressor().decompress, None, []
+        for rows, column in _unpacked(batches, unpack):
             keep = []
-            for row in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[row].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(bands.below * both >= bands.above * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            names = zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)
+            for (a, number, other), members in zip(names, sets_of(column, n), strict=True):
+                if cell != (a, number):
+                    cell, firsts = (a, number), []
+                if not other:
+                    firsts.append(members)  # one, unless rows repeat its id
+                keep.append(other and any(_similar(x, members, bands) for x in firsts))
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([rows.column(0).filter(chosen), rows.column(3).filter(chosen)], ["a", "b"])
+
+    return materialise(cells.mapInArrow(compared, f"a {id_type}, b {id_type}"), "links")
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    out = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {id_type}, b {id_type}"), "links")
-    release(sets)
-    return out
+
+def _unpacked(batches: Iterator[pa.RecordBatch], unpack: Callable[[bytes], bytes]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of batches with their unpacked texts (column 4), of about PIECE_BYTES."""
+    for batch in batches:
+        low, size, texts = 0, 0, []
+        for i in range(batch.num_rows):
+            texts.append(unpack(batch.column(4)[i].as_buffer()))
+            size += len(texts[-1])
+            if size >= PIECE_BYTES or i + 1 == batch.num_rows:
+                yield batch.slice(low, i + 1 - low), pa.array(texts, pa.binary())
+                low, size, texts = i + 1, 0, []
+
+
+def _similar(x: np.ndarray, y: np.ndarray, bands: Bands) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return bands.below * both >= bands.above * (len(x) + len(y) - both)
 
 
 def groups(docs: DataFrame, n: int = 4, above: int = 85, below: int = 100) -> DataFrame:
@@ -347,17 +407,16 @@ def groups(docs: DataFrame, n: int = 4, above: int = 85, below: int = 100) -> Da
     """
     bands = Bands(above, below)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialise(describe(docs, bands, n), "sketches")
+    sketches = materialise(describe(docs, bands, n), "sketches")
+    rows = materialise(sketches.select("doc_id", "n", "first", "second"), "sets")
     equal = rows.where("n > 0").groupBy("n", "first", "second").agg(F.min("doc_id").alias("node"))
     equal = materialise(equal, "equal")
-    nodes = rows.where("n > 0").join(equal.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").withColumnRenamed("doc_id", "node")
 
-    parts = _part_rows(nodes.where(F.length("keys") > 0))
-    shared = parts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    met = materialise(parts.join(shared, "key"), "parts")
+    met = _met(sketches, equal.select("node").distinct())
     known = met.groupBy("node").agg(F.sum("c").alias("neighbours"))
-    known = known.join(nodes.select("node", "bits").dropDuplicates(["node"]), "node")
-    known = materialise(known, "neighbours")
+    bits = sketches.where("n > 0").select(F.col("doc_id").alias("node"), "bits")
+    known = materialise(known.join(bits, "node").dropDuplicates(["node"]), "neighbours")
+    release(sketches)
 
     def with_bits(pairs: DataFrame) -> DataFrame:
         left, right = known.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), known.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
@@ -369,6 +428,7 @@ def groups(docs: DataFrame, n: int = 4, above: int = 85, below: int = 100) -> Da
     first = met.join(centers, "key").where((F.col("a") != F.col("node")) & fit(F.col("n"), F.col("na")))
     first = with_bits(first.select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).distinct())
     links = _verified(first, docs, bands, n, id_type)
+    made = [links]
     release(first)
     labels = components(links)
 
@@ -382,12 +442,16 @@ def groups(docs: DataFrame, n: int = 4, above: int = 85, below: int = 100) -> Da
         if found.isEmpty():
             break
         more = _verified(found, docs, bands, n, id_type)
+        made.append(more)
         release(found)
         if not more.isEmpty():
             links = links.unionByName(more)
             release(labels)
             labels = components(links)
 
+    release(known, met)
     names = equal.join(labels, "node", "left").select("n", "first", "second", F.coalesce("component", "node").alias("component"))
-    found = rows.select("doc_id", "n", "first", "second").join(names, ["n", "first", "second"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = rows.join(names, ["n", "first", "second"], "left")
+    out = materialise(found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "components")
+    release(rows, equal, labels, *made)
+    return out
