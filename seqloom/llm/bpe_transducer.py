@@ -4,10 +4,17 @@ A prefix of the input has one BPE encoding, whose last token is the only one tha
 encoding of what stands before it (a pair may follow when encoding its joined bytes gives the pair
 back). A state is the last emitted token and the bytes read since. Reading a byte extends the last
 tokens of all prefixes; what every start that a longer token could still have agrees on is emitted.
-States and arcs are made when first met, and forgotten together when there are too many.
+Arcs are made from states that have been left WANTED times; where one is missing, the rest of the pre-token
+is searched for tokens that may follow one another, the longest ones first (only one sequence of them
+fits), which costs less than an arc that nothing else uses. States are forgotten together when there are
+too many. The ids of recent pre-tokens are kept; digests look ids up for many texts at once, and take
+both the decimals and the decoded bytes from the ids.
 
 Nulls are empty texts; an empty text has no tokens and the hashes of the empty string. Texts of any
-length are read in runs of pre-tokens, so memory follows the longest pre-token, not the text.
+length are read in runs of pre-tokens, so memory follows the longest pre-token, not the text. Null ids
+and repeated rows are answered each as they are. Empty tables give empty results; columns other than
+doc_id and text are not read by digests(), and are kept by encode() and decode(), which replace a
+column of the result's name.
 """
 
 from __future__ import annotations
@@ -15,9 +22,11 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,13 +34,14 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.text import pieces
 
-MAX_STATES = 250_000
-MAX_WORDS = 550_000
+MAX_STATES, WANTED = 250_000, 100
+#: Pre-tokens whose ids are kept until all are forgotten.
+MAX_WORDS = 1_500_000
 RUN = 1 << 16
 
 
 class _State:
-    __slots__ = ("before", "pending", "last", "live", "arcs")
+    __slots__ = ("before", "pending", "last", "live", "arcs", "left")
 
     def __init__(self, before: int, pending: bytes, last: tuple, live: tuple) -> None:
         self.before = before  # the token before the pending bytes; -1 at the start
@@ -39,6 +49,7 @@ class _State:
         self.last = last  # for each prefix of pending: its last token, where that begins, all token ends as bits
         self.live = live  # where a token may begin that has all bytes from there and perhaps more; its place in the trie
         self.arcs: dict[int, tuple[_State, tuple[int, ...]]] = {}
+        self.left = 0  # how often an arc was missing
 
 
 class Transducer:
@@ -150,7 +161,7 @@ class Transducer:
         return arc
 
     @staticmethod
-    def _back(last: tuple, at: int) -> tuple[int, ...]:
+    def _back(last: tuple | list, at: int) -> tuple[int, ...]:
         out = []
         while at:
             token, at, _ = last[at - 1]
@@ -162,13 +173,55 @@ class Transducer:
         if whole is not None:
             return (whole,)
         state, out = self._state(-1, b"", (), ((0, 0),)), []
-        for byte in data:
-            state, emitted = state.arcs.get(byte) or self._arc(state, byte)
+        for i, byte in enumerate(data):
+            arc = state.arcs.get(byte)
+            if arc is None:
+                state.left += 1
+                if state.left < WANTED:
+                    out.extend(self._rest(state, data[i:]))
+                    return tuple(out)
+                arc = self._arc(state, byte)
+            state, emitted = arc
             if emitted:
                 out.extend(emitted)
         out.extend(self._back(state.last, len(state.pending)))
         return tuple(out)
 
+    def _rest(self, state: _State, data: bytes) -> tuple[int, ...]:
+        """What is emitted from a state on, if ``data`` is all that follows; makes no states."""
+        data, left, at = state.pending + data, state.before, 0
+        step, token_at, follows, n = self.trie.get, self.token_at.get, self.follows.get, len(data)
+        out: list[int] = []
+        tried: list[tuple[int, int, list]] = []
+        dead = set()  # places that no end can be reached from
+        while at < n:
+            place, found = 0, []
+            for i in range(at, n):
+                place = step(place << 8 | data[i])
+                if place is None:
+                    break
+                token = token_at(place)
+                if token is not None:
+                    found.append((token, i + 1))
+            while True:
+                while found:
+                    token, end = found.pop()
+                    if end in dead:
+                        continue
+                    fits = left < 0 or follows(left << 32 | token)
+                    if fits or fits is None and self._may_follow(left, token):
+                        break
+                else:
+                    dead.add(at)
+                    at, left, found = tried.pop()
+                    out.pop()
+                    continue
+                break
+            tried.append((at, left, found))
+            out.append(token)
+            at, left = end, token
+        return tuple(out)
+
 
 class Utf8Machine:
     """Incremental UTF-8 decoding. The state is the bytes of a character that is not yet complete."""
@@ -208,54 +261,110 @@ class Utf8Machine:
         return rest.decode("utf-8", "replace")
 
 
+class _Recent:
+    """The ids of recent pre-tokens, end to end in one array; a pre-token has a number from 1 on."""
+
+    def __init__(self, make: Callable[[str], tuple]) -> None:
+        self.make = make
+        self.numbers: dict[str, int] = {}
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def _add(self, word: str) -> int:
+        self.ids.extend(self.make(word))
+        number = self.numbers[word] = len(self.ends)
+        self.ends.append(len(self.ids))
+        return number
+
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after another, and how many each has."""
+        if len(self.numbers) > MAX_WORDS:
+            self.__init__(self.make)
+        known, add = self.numbers.get, self._add
+        at = np.array([known(w) or add(w) for w in words], np.int64)
+        ends = np.frombuffer(self.ends, np.int64)
+        low, high = ends[at - 1], ends[at]
+        return np.frombuffer(self.ids, np.uint32)[_ragged(low, high - low)] if self.ids else np.zeros(0, np.uint32), high - low
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, ..., then those of starts[1], and so on."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Digest:
+    """The running digests of one text's ids and of what they decode to."""
+
+    def __init__(self) -> None:
+        self.n, self.written, self.decoded, self.machine = 0, hashlib.sha256(), hashlib.sha256(), Utf8Machine()
+
+    def feed(self, n: int, names: bytes, raw: bytes) -> None:
+        """n ids, each written with a space before it, and their bytes."""
+        self.written.update(names if self.n else names[1:])
+        self.decoded.update(self.machine.feed(raw).encode())
+        self.n += n
+
+    def result(self) -> tuple[int, str, str]:
+        self.decoded.update(self.machine.finish().encode())
+        return self.n, self.written.hexdigest(), self.decoded.hexdigest()
+
+
 class Codec:
-    """A pre-token pattern and a transducer, with the ids of recent pre-tokens kept."""
+    """A pre-token pattern and a transducer, with the ids of recent pre-tokens."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.transducer = Transducer.from_file(path)
         self.pattern = regex.compile(pattern)
         size = max(self.transducer.bytes_of) + 1
         self.pieces = [self.transducer.bytes_of.get(i, b"") for i in range(size)]
-        self.names = list(map(str, range(size)))
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def _encode(self, word: str) -> tuple[int, ...]:
-        ids = self.older.get(word) or self.transducer.encode(word.encode())
-        if len(word) <= 64:
-            if len(self.known) >= MAX_WORDS:
-                self.older, self.known = self.known, {}
-            self.known[word] = ids
-        return ids
-
-    def runs(self, text: str) -> Iterator[list[int]]:
-        words = iter(self.pattern.findall(text)) if len(text) < 4 * RUN else (m[0] for m in self.pattern.finditer(text))
-        make = self._encode
-        while True:
-            known = self.known.get  # a full generation is put aside meanwhile
-            run = [known(w) or make(w) for w in islice(words, RUN)]
-            if not run:
-                return
-            yield list(chain.from_iterable(run))
+        self.recent = _Recent(lambda word: self.transducer.encode(word.encode()))
+        names = [b" %d" % i for i in range(size)]
+        self.names = np.array(names, f"S{max(map(len, names))}")
+        self.raw, self.sizes = np.frombuffer(b"".join(self.pieces), np.uint8), np.array(list(map(len, self.pieces)))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def runs(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, at most RUN at a time where there are many."""
+        if len(text) < 4 * RUN:
+            yield [w for w in self.pattern.findall(text) if w]
+            return
+        words = (m[0] for m in self.pattern.finditer(text) if m[0])
+        while run := list(islice(words, RUN)):
+            yield run
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.runs(text)))
+        return [i for run in self.runs(text) for i in self.recent.lookup(run)[0].tolist()]
 
     def decode(self, ids: Iterable[int]) -> str:
         machine = Utf8Machine()
         return machine.feed(b"".join(map(self.pieces.__getitem__, ids))) + machine.finish()
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the decimal ids, SHA-256 of the bytes that the ids decode to."""
-        n, written, decoded, machine, gap = 0, hashlib.sha256(), hashlib.sha256(), Utf8Machine(), ""
-        for ids in self.runs(text):
-            if ids:
-                n += len(ids)
-                written.update((gap + " ".join(map(self.names.__getitem__, ids))).encode())
-                decoded.update(machine.feed(b"".join(map(self.pieces.__getitem__, ids))).encode())
-                gap = " "
-        decoded.update(machine.finish().encode())
-        return n, written.hexdigest(), decoded.hexdigest()
+    def _feed(self, held: list[tuple[_Digest, list[str]]]) -> None:
+        ids, counts = self.recent.lookup([w for _, run in held for w in run])
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(run) for _, run in held])]
+        names = self.names[ids]
+        sizes = self.sizes[ids]
+        raw = self.raw[_ragged(self.starts[ids], sizes)].tobytes()
+        raw_ends = np.concatenate([[0], np.cumsum(sizes)])[ends].tolist()
+        low = raw_low = 0
+        for (digest, _), high, raw_high in zip(held, ends.tolist(), raw_ends, strict=True):
+            digest.feed(high - low, names[low:high].tobytes().translate(None, b"\0"), raw[raw_low:raw_high])
+            low, raw_low = high, raw_high
+
+    def digests(self, texts: Iterable[str]) -> list[tuple[int, str, str]]:
+        """For each text the number of ids, SHA-256 of the decimal ids, SHA-256 of the bytes that the ids decode to."""
+        out, held, size = [], [], 0
+        for text in texts:
+            out.append(_Digest())
+            for run in self.runs(text):
+                held.append((out[-1], run))
+                size += len(run)
+                if size >= RUN:
+                    self._feed(held)
+                    held, size = [], 0
+        if held:
+            self._feed(held)
+        return [d.result() for d in out]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -298,8 +407,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in pieces(batches, "text"):
-            rows = [own.digest(t or "") for t in batch.column(1).to_pylist()]
-            n, written, decoded = zip(*rows)
+            n, written, decoded = zip(*own.digests(t or "" for t in batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(written, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
