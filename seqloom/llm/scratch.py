@@ -45,24 +45,31 @@ def _write(spark: SparkSession, write: Callable[[], None]) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage and frees its shuffles."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    _write(spark, lambda: df.write.parquet(path))
+    _write(spark, lambda: df.write.parquet(path, compression="zstd"))
     out = spark.read.schema(df.schema).parquet(path)
     out._seqloom_path = path
     return out
 
 
-def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-    """As materialise(), with rows in one file for each hash of a column; work by that column then needs no shuffle."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    table, n = "seqloom_" + path.rsplit("-", 1)[1], int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartition(n, column)
-    _write(spark, lambda: rows.write.bucketBy(n, column).option("path", path).format("parquet").saveAsTable(table))
-    return spark.table(table)
+def bucketed(df: DataFrame, name: str, column: str, onto: DataFrame | None = None) -> DataFrame:
+    """As materialise(), with rows in one file for each hash of a column; work by that column then needs no shuffle.
+
+    onto: a table of this function (with the same columns) to add to, which is returned with the new rows."""
+    spark = df.sparkSession
+    path = onto._seqloom_path if onto else new_path(spark, name)
+    table, n = "seqloom_" + path.rsplit("-", 1)[1], onto._seqloom_buckets if onto else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n, column).write.bucketBy(n, column).option("path", path).option("compression", "zstd").format("parquet")
+    _write(spark, lambda: writer.mode("append").saveAsTable(table))
+    out = spark.table(table)
+    out._seqloom_path, out._seqloom_table, out._seqloom_buckets = path, table, n
+    return out
 
 
 def release(*frames: DataFrame | None) -> None:
-    """Delete tables of materialise() that nothing reads any more."""
+    """Delete tables of materialise() and bucketed() that nothing reads any more."""
     for df in frames:
+        if table := getattr(df, "_seqloom_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         path = getattr(df, "_seqloom_path", None)
         if path:
             delete(df.sparkSession, path)

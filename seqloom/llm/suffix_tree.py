@@ -1,27 +1,31 @@
 """Operator 1: scoring by a probabilistic suffix tree over words, learned from the whole corpus.
 
-Contexts are the last zero, one or two words. A context is a state of the tree if it occurs twice or
-more and its next-word distribution diverges from that of the context shorter by its first word: the
-likelihood ratio (in nats, over all its occurrences) is at least DIVERGENCE for each distinct next
-word. A state's distribution is smoothed by that of the next shorter state (Witten and Bell's
+Contexts are the last words before a word, DEPTH at most. A context is a state of the tree if it occurs
+LEAST_COUNT times and its next-word distribution diverges from that of the context shorter by its first
+word: the likelihood ratio (in nats, over all its occurrences) is at least DIVERGENCE for each distinct
+next word. A state's distribution is smoothed by that of the next shorter state (Witten and Bell's
 weights), the empty context's by adding one. Each word is scored in the longest suffix of what comes
-before it that is a state; texts begin with two start marks and end with an end token.
-
-The tree is never in one place. Texts are packed in blocks of about BLOCK_BYTES. Each block asks for
-its distinct words, pairs and triples once, with its own counts; the requests are dealt by hash to
-buckets, which add the counts of all blocks and answer each block. From the answers each block knows,
-for its own training words, the terms of the divergence and of the number of distinct next words; a
-second round adds these up for each context in the same way. So a key takes one entry a block however
-often it occurs, and no task holds more than a block or a bucket.
-
-Keys are hashes. Words have 64 bits, so base counts are exact but for chance (2**-64 a pair). Pairs and
-triples have 40 bits within their bucket, so that one in a million or so shares its count with another.
-
-A block's sums for a context go in half precision where they are small; whole numbers are exact.
+before it that is a state; texts begin with a start mark and end with an end token.
+
+The tree is never in one place. Texts are packed in blocks of about BLOCK tokens. Each block asks for the
+corpus counts of its distinct words, pairs, triples and so on, with its own counts; the requests are dealt
+by hash to buckets, which add up the counts of all blocks and answer each block. A gram of three words or
+more is asked for only where all of its words but the last occur LEAST_COUNT times, and fewer times than
+without the first word; else they are no state, and in the second case the gram occurs as often as without
+its first word. So longer levels cost less. With each answer goes whether the block owns the gram: one block
+that has learned from it does. For its own grams a block adds one next word and the term of the divergence
+to their contexts; these sums are added up in buckets in the same way. A gram's term is rounded to whole
+parts of 1 / UNIT nat before it is added, so that all sums are of whole numbers and exact, whatever the
+blocks are. A key takes one entry a block however often it
+occurs, and no task holds more than a block or a bucket. Requests are a row for each block and bucket that
+have keys in common, so that a row holds one key at worst; larger blocks make fewer entries.
+
+Words and grams are known by 64-bit hashes, so counts are exact but for chance (2**-64 a pair).
 
 Nulls: a null text is empty and has the end token only. A null id is never learned from and counts as
-held out. Repeated rows are learned from and answered each. Nothing to learn from gives score 0 to all
-texts. Empty tables give empty results; other columns are not read.
+held out. Repeated rows are learned from and answered each. A text longer than a block is a block by
+itself. Nothing to learn from gives score 0 to all texts. Empty tables give empty results; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -34,16 +38,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.scratch import bucketed, materialise
+from seqloom.llm.scratch import bucketed, materialise, release
 from seqloom.llm.text import LOWER, NON_SPACE, Words, column_bytes, mix, pieces
 
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 4 << 20, 64
-#: Occurrences that a state must have, and nats for each distinct next word.
-LEAST_COUNT, DIVERGENCE = 2, 2.0
+BLOCK, BUCKET_BYTES, LEAST_BUCKETS = 1 << 19, 4 << 20, 64
+#: Words of the longest contexts, occurrences that a state must have, nats for each distinct next word.
+DEPTH, LEAST_COUNT, DIVERGENCE = 4, 2, 2.0
+#: Parts of a nat in which terms of the divergence are counted.
+UNIT = 1024
 
 _END, _START = np.uint64(0x9D3F2C5A71B8E601), np.uint64(0x5B1C7E92A4D0F387)
-_STEP = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_SCHEMA = "block long, bucket int, part binary"
+_STEP = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SCHEMA = "block long, bucket int, part binary, owned long"
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -51,80 +57,60 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(True))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """block, bucket (-1), part (its rows of doc_id, held_out, text, packed), size in bytes of text."""
+def _ipc(batch: pa.RecordBatch, compression: str | None = None) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        parts = pieces(batches, "text", BLOCK_BYTES)
-        group: list[pa.RecordBatch] = []
-        size = number = 0
-
-        def packed() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, group[0].schema, options=options) as writer:
-                for b in group:
-                    writer.write_batch(b)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([task + number]), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([size])], ["block", "bucket", "part", "size"]
-            )
-
-        for piece in parts:
-            own = int(column_bytes(piece.column(2))[1][-1])
-            if group and size + own > BLOCK_BYTES:
-                yield packed()
-                group, size, number = [], 0, number + 1
-            group.append(piece)
-            size += own
-        if group:
-            yield packed()
-
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "block long, bucket int, part binary, size long")
 
+def _packed(rows: list[pa.RecordBatch], words: list[np.ndarray], sizes: list[np.ndarray]) -> bytes:
+    """A block: doc_id, held_out and number of tokens of its rows, its distinct tokens (the most frequent
+    first, the start mark last) and each token's place among these, byte by byte."""
+    counts = np.concatenate(sizes)
+    token = np.full(int(counts.sum() + len(counts)), _END)
+    token[np.arange(len(token) - len(counts)) + np.repeat(np.arange(len(counts)), counts)] = np.concatenate(words)
+    found, place, often = np.unique(token, return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
+    planes = np.ascontiguousarray(rank[place].view(np.uint8).reshape(-1, 4).T)
+    table = pa.Table.from_batches(rows).append_column("n", pa.array(counts + 1)).combine_chunks().to_batches()[0]
+    names = ["rows", "tokens", "p0", "p1", "p2", "p3"]
+    parts = [_ipc(table), np.append(found[order], _START).tobytes(), *(p.tobytes() for p in planes)]
+    return _ipc(pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names), "zstd")
 
-class Block:
-    """The tokens of a block and the keys of the words, pairs and triples that end at each."""
-
-    def __init__(self, part: bytes) -> None:
-        self.rows = pa.ipc.open_stream(part).read_all().combine_chunks()
-        data, bounds = column_bytes(self.rows.column("text"))
-        words = Words(LOWER[data], bounds, NON_SPACE)
-        n = words.counts
-        self.offsets = words.offsets + np.arange(len(words.offsets))  # an end token follows each text
-        token = np.full(len(words) + len(n), _END)
-        token[np.arange(len(words)) + words.text_index] = words.hashes()
-        first = self.offsets[:-1]
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[first] = _START
-        earlier = np.empty_like(token)
-        earlier[1:] = before[:-1]
-        earlier[first] = _START
-        keys = [token * _STEP[0], before * _STEP[1] + token * _STEP[0], earlier * _STEP[2] + before * _STEP[1] + token * _STEP[0]]
-        self.keys = [mix(k + np.uint64(i)) for i, k in enumerate(keys)]
-        self.first = first
-        held = self.rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        self.train = np.repeat(~held, np.diff(self.offsets))
-        self.held = held
-
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct keys of words (0), pairs (1) or triples (2), ascending, and each position's place among them."""
-        return distinct(self.keys[order])
-
-    def context_keys(self) -> list[np.ndarray]:
-        """The key of the one and of the two words before each position; a text's first has the end token's."""
-        out = []
-        for k in self.keys[:2]:
-            moved = np.empty_like(k)
-            moved[1:] = k[:-1]
-            moved[self.first] = mix(np.array([_START + np.uint64(len(out))]))
-            out.append(moved)
-        return out
 
-    def by_text(self, values: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(values)])
-        return np.diff(total[self.offsets])
+def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """block, bucket (-1), part (a packed block), owned (0), bytes (of its texts), learned (its training tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId() << 32, 0
+        rows, words, sizes, held = [], [], [], 0
+        volume = learned = 0
+
+        def row() -> pa.RecordBatch:
+            values = [task + number, -1, _packed(rows, words, sizes), 0, volume, learned]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["block", "bucket", "part", "owned", "bytes", "learned"])
+
+        for piece in pieces(batches, "text"):
+            data, bounds = column_bytes(piece.column(2))
+            own = Words(LOWER[data], bounds, NON_SPACE)
+            if held and held + len(own) > size:
+                yield row()
+                rows, words, sizes, held, number = [], [], [], 0, number + 1
+                volume = learned = 0
+            rows.append(pa.RecordBatch.from_arrays(piece.columns[:2], ["doc_id", "held_out"]))
+            words.append(own.hashes())
+            sizes.append(own.counts)
+            held += len(own) + len(own.counts)
+            volume += len(data)
+            learned += int((own.counts + 1)[~piece.column(1).to_numpy(zero_copy_only=False).astype(bool)].sum())
+        if rows:
+            yield row()
+
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, _SCHEMA + ", bytes long, learned long")
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,221 +119,332 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(keys)
     if n < 2:
         return np.unique(keys, return_inverse=True)
+    inner = keys - keys.min()
     width = np.uint64(int(n - 1).bit_length())
-    spare = np.uint64(max(0, 64 - int(keys.max()).bit_length()))
-    packed = np.sort((keys << spare) >> width << width | np.arange(n, dtype=np.uint64))
+    spare = np.uint64(max(0, 64 - int(inner.max()).bit_length()))
+    packed = np.sort((inner << spare) >> width << width | np.arange(n, dtype=np.uint64))
     order = (packed & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
     ordered = keys[order]
-    new = np.ones(n, bool)
-    new[1:] = ordered[1:] != ordered[:-1]
     if (ordered[1:] < ordered[:-1]).any():
         return np.unique(keys, return_inverse=True)
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
     place = np.empty(n, np.int64)
     place[order] = np.cumsum(new) - 1
     return ordered[new], place
 
 
-def _small(values: np.ndarray, exact: bool = True) -> bytes:
-    """Whole numbers below 256 as bytes, others as float32; inexact ones below 1024 in half precision."""
-    short = values.astype(np.uint8)
-    if np.array_equal(short, values):
-        return short.tobytes()
-    return values.astype(np.float32 if exact or np.abs(values).max() >= 1024 else np.float16).tobytes()
+def _write_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys: the first one, then the steps in six bytes each if all are that small."""
+    steps = np.diff(keys)
+    if len(steps) and int(steps.max()) >> 48 == 0:
+        return keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return keys.tobytes()
 
 
-def _numbers(raw: np.ndarray, n: int) -> np.ndarray:
-    return raw if len(raw) == n else raw.copy().view(np.float16 if len(raw) == 2 * n else np.float32)
+def _read_keys(raw: np.ndarray, n: int) -> np.ndarray:
+    if len(raw) == 8 * n:
+        return raw.copy().view(np.uint64)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[0] = raw[:8]
+    wide[1:, :6] = raw[8:].reshape(-1, 6)
+    return np.cumsum(wide.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
-def _requests(block: int, keys: np.ndarray, values: np.ndarray, buckets: int, wide: bool = False, exact: bool = True) -> pa.Table:
-    """One row for each bucket that has any of the ascending keys; values: a row for each sum.
+def _write_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers, a byte each; 255 stands for one of those listed in full at the end."""
+    large = values >= 255
+    return np.where(large, 255, values).astype(np.uint8).tobytes() + values[large].astype(np.int64).tobytes()
 
-    Buckets are equal ranges of keys. wide: keys as they are, in buckets from ``buckets`` on; else a
-    key's place in its bucket's range in 40 bits, as steps of 32 bits if all are that small."""
-    b = np.uint64(buckets)
-    high, low = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-    bucket = ((high * b + (low * b >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
-    names, heads = np.unique(bucket, return_index=True)
-    ends = np.append(heads[1:], len(keys))
-    inner = (keys * b) >> np.uint64(24)
-    parts = []
-    for i, j in zip(heads.tolist(), ends.tolist(), strict=True):
-        if wide:
-            own = keys[i:j].tobytes()
-        else:
-            steps = np.diff(inner[i:j], prepend=np.uint64(0))
-            own = steps.astype(np.uint32).tobytes() if steps.max() < 1 << 32 else inner[i:j].tobytes()
-        sums = [_small(v[i:j], exact) for v in values]
-        parts.append(b"".join([np.array([j - i, len(own), *map(len, sums)], np.uint32).tobytes(), own, *sums]))
-    names = names + buckets if wide else names
-    return pa.table([pa.array(np.full(len(names), block)), pa.array(names, pa.int32()), pa.array(parts, pa.binary())], ["block", "bucket", "part"])
 
+def _read_numbers(raw: np.ndarray, n: int) -> np.ndarray:
+    values = raw[:n].astype(np.int64)
+    if len(raw) > n:
+        values[values == 255] = raw[n:].copy().view(np.int64)
+    return values
 
-def _request(raw: np.ndarray, sums: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Keys and values of one row of _requests()."""
-    n, *sizes = raw[: 4 * (2 + sums)].copy().view(np.uint32).tolist()
-    at = np.cumsum([4 * (2 + sums), *sizes])
-    own, *rest = (raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
-    keys = np.cumsum(own.copy().view(np.uint32), dtype=np.uint64) if len(own) == 4 * n else own.copy().view(np.uint64)
-    return keys, [_numbers(v, n) for v in rest]
 
+def _write_signed(values: np.ndarray) -> bytes:
+    """Whole numbers in two bytes each; 32767 stands for one of those listed in full at the end."""
+    large = np.abs(values) >= 32767
+    return np.where(large, 32767, values).astype(np.int16).tobytes() + values[large].tobytes()
 
-def _exchange(requests: DataFrame, sums: int, buckets: int, answer: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Add the values of equal keys over all blocks, and answer each request in its order.
 
-    answer: from the sums to a number for each key. Buckets of wide keys also tell block -1 the sum and
-    the number of the answers that are not 0."""
+def _read_signed(raw: np.ndarray, n: int) -> np.ndarray:
+    values = raw[: 2 * n].copy().view(np.int16).astype(np.int64)
+    if len(raw) > 2 * n:
+        values[values == 32767] = raw[2 * n :].copy().view(np.int64)
+    return values
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        raw = [_request(np.frombuffer(p.as_buffer(), np.uint8), sums) for p in table.column("part")]
-        keys = [k for k, _ in raw]
-        sizes = [len(k) for k in keys]
-        found, place = distinct(np.concatenate(keys))
-        total = np.stack([np.bincount(place, np.concatenate([v[i] for _, v in raw]).astype(np.float64), len(found)) for i in range(sums)])
-        single = answer(total)
-        each = single[place]
-        ends = np.cumsum(sizes)
-        parts = [_small(each[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
-        out = pa.table([table.column("block"), table.column("bucket"), pa.array(parts, pa.binary())], ["block", "bucket", "part"])
-        if bucket < buckets:
-            return out
-        figures = np.array([single.sum(), np.count_nonzero(single)], np.float64).tobytes()
-        extra = pa.table([pa.array([-1]), pa.array([bucket], pa.int32()), pa.array([figures], pa.binary())], ["block", "bucket", "part"])
-        return pa.concat_tables([t.cast(out.schema) for t in (out, extra)])
 
-    return requests.groupBy("bucket").applyInArrow(run, _SCHEMA)
+def _join(n: int, *parts: bytes) -> bytes:
+    return b"".join([np.array([n, *map(len, parts)], np.int64).tobytes(), *parts])
 
 
-def _answers(table: pa.Table, low: int, high: int, heads: np.ndarray) -> np.ndarray:
-    """The answers in buckets low to high - 1, joined in order; heads: how many keys each bucket was asked."""
-    rows = sorted((b, i) for i, b in enumerate(table.column("bucket").to_pylist()) if low <= b < high)
-    column = table.column("part")
-    parts = [_numbers(np.frombuffer(column[i].as_buffer(), np.uint8), heads[b - low]) for b, i in rows]
-    return np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
+def _split(raw: pa.Scalar, parts: int) -> tuple[int, list[np.ndarray]]:
+    """What _join() joined."""
+    data = np.frombuffer(raw.as_buffer(), np.uint8)
+    n, *sizes = data[: 8 * (parts + 1)].copy().view(np.int64).tolist()
+    ends = np.cumsum([8 * (parts + 1), *sizes])
+    return n, [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _asked(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """How many of the keys are in each bucket."""
-    b = np.uint64(buckets)
-    high, low = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-    return np.bincount(((high * b + (low * b >> np.uint64(32))) >> np.uint64(32)).astype(np.int64), minlength=buckets)
+class Block:
+    """The tokens of a block; its grams and their corpus counts as far as answers to them are known.
+
+    Position i of a block is a token; a gram of level m is the m tokens that end there. A level has the
+    positions where a gram is asked for, the ascending distinct keys of these grams, each position's
+    place among the keys, and from the answers the keys' counts and which of them the block owns."""
+
+    def __init__(self, part: pa.Scalar, buckets: int, answers: dict[int, list[np.ndarray]] | None = None, levels: int = 0) -> None:
+        packed = pa.ipc.open_stream(part.as_buffer()).read_all()
+        raw = [packed.column(i)[0].as_buffer() for i in range(6)]
+        self.buckets, self.answers = buckets, answers or {}
+        self.rows = pa.ipc.open_stream(raw[0]).read_all().combine_chunks()
+        sizes = self.rows.column("n").to_numpy()
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+        self.held = self.rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        self.train = np.repeat(~self.held, sizes)
+        self.place = np.ascontiguousarray(np.stack([np.frombuffer(r, np.uint8) for r in raw[2:]], axis=1)).view(np.uint32).ravel().astype(np.int64)
+        self.tokens = np.frombuffer(raw[1], np.uint64)
+        #: how many tokens of its text stand before each one
+        self.at = np.arange(len(self.place)) - np.repeat(self.offsets[:-1], sizes)
+        self.start = len(self.tokens) - 1  # the start mark's place
+        self.sums = self.tokens[self.place] * _STEP[0]
+        keys = mix(self.tokens * _STEP[0] + np.uint64(1))
+        order = np.argsort(keys)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.start = int(rank[self.start])
+        self.end = int(rank[np.flatnonzero(self.tokens == _END)[0]])
+        self.positions, self.keys, self.places = [np.arange(len(self.place))], [keys[order]], [rank[self.place]]
+        self.same = [np.zeros(0, np.int64)] * 2  # by level: positions where the gram occurs as often as without its first token
+        #: by level: counts of keys and which are owned; counts of the grams at all positions; places (-1 for none)
+        self.counts: list[np.ndarray] = []
+        self.owned: list[np.ndarray] = []
+        self.here: list[np.ndarray] = []
+        self.where: list[np.ndarray] = []
+        for level in range(levels):
+            if level:
+                self._next()
+            self._counted(level)
+
+    def _next(self) -> None:
+        """Add the positions and keys of the next level."""
+        m = len(self.keys) + 1  # tokens in a gram
+        if m == 2:
+            positions = self.positions[0]
+        else:
+            # all but the gram's last token occur often enough, and at most one start mark is among them
+            before = np.zeros(len(self.at), bool)
+            before[1:] = self.here[m - 2][:-1] >= LEAST_COUNT
+            positions = np.flatnonzero(before & (self.at >= max(m - 2, 1)))
+        earlier = positions - (m - 1)
+        token = np.where(self.at[positions] >= m - 1, self.tokens[self.place[earlier]], _START)
+        self.sums[positions] += token * _STEP[m - 1]
+        if m > 2:
+            same = self.here[m - 2][positions - 1] == self.here[m - 3][positions - 1]
+            self.same.append(positions[same])
+            positions = positions[~same]
+        found, place = distinct(mix(self.sums[positions] + np.uint64(m)))
+        self.positions.append(positions)
+        self.keys.append(found)
+        self.places.append(place)
+
+    def _counted(self, level: int) -> None:
+        """Take the answers to a level."""
+        n = len(self.keys[level])
+        counts, owned = np.zeros(n, np.int64), np.zeros(n, bool)
+        low = 0
+        for raw in self.answers.get(level, ()):
+            size, (numbers, flags) = _split(raw, 2)
+            counts[low : low + size] = _read_numbers(numbers, size)
+            owned[low : low + size] = np.unpackbits(flags, count=size)
+            low += size
+        self.counts.append(counts)
+        self.owned.append(owned)
+        here, where = np.zeros(len(self.at), np.int64), np.full(len(self.at), -1)
+        here[self.positions[level]] = counts[self.places[level]]
+        if level > 1:
+            here[self.same[level]] = self.here[level - 1][self.same[level]]
+        where[self.positions[level]] = self.places[level]
+        self.here.append(here)
+        self.where.append(where)
+
+    def ask(self, number: int, level: int) -> Iterator[pa.RecordBatch]:
+        """Requests for the counts of a level, with the block's own counts."""
+        if level == len(self.keys):
+            self._next()
+        own = np.bincount(self.places[level], self.train[self.positions[level]], len(self.keys[level])).astype(np.int64)
+        yield from self._requests(number, level, self.keys[level], lambda i, j: [_write_numbers(own[i:j])])
+
+    def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions with a context of k tokens that may be a state, its place among level k's keys, and its count."""
+        positions = self.positions[k]
+        first = self.at[positions] == 0
+        place = np.where(first, self.start, self.where[k - 1][positions - 1])
+        count = np.where(first, self.counts[0][self.end], self.here[k - 1][positions - 1])
+        chosen = count >= LEAST_COUNT
+        return positions[chosen], place[chosen], count[chosen]
+
+    def tell(self, number: int, depth: int, k: int, n: int) -> Iterator[pa.RecordBatch]:
+        """Requests for the contexts of k tokens, with next words and divergence of the grams that the block owns."""
+        positions, context, count = self.contexts(k)
+        gram = self.where[k][positions]
+        one = np.full(len(self.keys[k]), -1)
+        one[gram] = np.arange(len(positions))  # a position of each gram
+        one = one[(one >= 0) & self.owned[k]]
+        at, context_of, total = positions[one], context[one], self.here[k][positions[one]]
+        if k == 1:
+            shorter = self.here[0][at] / max(n, 1)
+        else:
+            shorter = self.here[k - 1][at] / self.here[k - 2][at - 1]
+        terms = np.rint(UNIT * total * np.log(total / count[one] / shorter))
+        size = len(self.keys[k - 1])
+        asked = np.zeros(size, bool)
+        asked[context] = True
+        asked = np.flatnonzero(asked)
+        following = np.bincount(context_of, minlength=size)[asked]
+        gain = np.bincount(context_of, terms, size)[asked].astype(np.int64)
+        keys = self.keys[k - 1][asked]
+        yield from self._requests(number, depth + k, keys, lambda i, j: [_write_numbers(following[i:j]), _write_signed(gain[i:j][following[i:j] > 0])])
+
+    def following(self, depth: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions with a state of k tokens, its number of next words and its count."""
+        positions, context, count = self.contexts(k)
+        asked = np.zeros(len(self.keys[k - 1]), np.int64)
+        asked[context] = 1
+        found = [_split(raw, 1) for raw in self.answers.get(depth + k, ())]
+        asked[asked > 0] = np.concatenate([_read_numbers(numbers, size) for size, (numbers,) in found]) if found else 0
+        weight = asked[context]
+        state = weight > 0
+        return positions[state], weight[state], count[state]
+
+    def _requests(self, number: int, kind: int, keys: np.ndarray, values: Callable[[int, int], list[bytes]]) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket that has any of the ascending keys. Buckets are equal ranges of keys."""
+        if not len(keys):
+            return
+        bucket = ((keys >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        names, heads = np.unique(bucket, return_index=True)
+        parts = [_join(j - i, _write_keys(keys[i:j]), *values(i, j)) for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True)]
+        columns = [pa.array(np.full(len(names), number)), pa.array(names + kind * self.buckets, pa.int32()), pa.array(parts, pa.binary()), pa.array(np.zeros(len(names), np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "part", "owned"])
 
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(values)])
+        return np.diff(total[self.offsets])
 
-def _packed(table: pa.Table) -> bytes:
-    return next(p.as_py() for b, p in zip(table.column("bucket").to_pylist(), table.column("part"), strict=True) if b == -1)
 
+def _counted(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's sum over all requests, and whether this entry is the first one of its key that is not 0."""
+    found, place = distinct(keys)
+    own = np.concatenate(values)
+    total = np.bincount(place, own, len(found)).astype(np.int64)
+    some = np.flatnonzero(own)[::-1]
+    first = np.full(len(found), -1)
+    first[place[some]] = some
+    owner = np.zeros(len(keys), bool)
+    owner[first[first >= 0]] = True
+    return total[place], owner
 
-class _Counted:
-    """A block with the corpus counts of its words, pairs, triples and contexts."""
 
-    def __init__(self, table: pa.Table, buckets: int) -> None:
-        self.block = Block(_packed(table))
-        self.counts = []
-        for order, low in enumerate((buckets, 0, 3 * buckets)):
-            keys, place = self.block.grams(order)
-            self.counts.append(_answers(table, low, low + buckets, _asked(keys, buckets))[place])
-        documents = self.counts[0][self.block.offsets[1:] - 1]  # the end token's count
-        self.before = []
-        for c in self.counts[:2]:
-            moved = np.empty_like(c)
-            moved[1:] = c[:-1]
-            moved[self.block.first] = documents
-            self.before.append(moved)
+def _exchange(requests: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """Add up the values of equal keys over all blocks, and answer each request in its order."""
 
-    def contexts(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """The distinct keys of contexts that occur often enough; where these are, their places among the keys."""
-        often = [b >= LEAST_COUNT for b in self.before]
-        both = [k[o] for k, o in zip(self.block.context_keys(), often, strict=True)]
-        found, place = distinct(np.concatenate(both))
-        return found, often, [place[: len(both[0])], place[len(both[0]) :]]
+    def run(table: pa.Table) -> pa.Table:
+        gram = table.column("bucket")[0].as_py() // buckets <= depth
+        table = table.sort_by("block")
+        raw = [_split(p, 2 if gram else 3) for p in table.column("part")]
+        sizes = [n for n, _ in raw]
+        keys = np.concatenate([_read_keys(parts[0], n) for n, parts in raw])
+        values = [_read_numbers(parts[1], n) for n, parts in raw]
+        ends = np.cumsum(sizes)
+        if gram:
+            total, owner = _counted(keys, values)
+            parts = [_join(n, _write_numbers(total[e - n : e]), np.packbits(owner[e - n : e]).tobytes()) for e, n in zip(ends, sizes, strict=True)]
+            owned = np.add.reduceat(owner.astype(np.int64), ends - sizes)
+        else:
+            found, place = distinct(keys)
+            following = np.concatenate(values)
+            some = following > 0
+            gains = [_read_signed(p[2], np.count_nonzero(v)) for (_, p), v in zip(raw, values, strict=True)]
+            gain = np.bincount(place[some], np.concatenate(gains), len(found))
+            following = np.bincount(place, following, len(found)).astype(np.int64)
+            state = np.where(gain >= DIVERGENCE * UNIT * following, following, 0)[place]
+            parts = [_join(n, _write_numbers(state[e - n : e])) for e, n in zip(ends, sizes, strict=True)]
+            owned = np.zeros(len(sizes), np.int64)
+        out = pa.table([table.column("block"), table.column("bucket"), pa.array(parts, pa.binary()), pa.array(owned)], ["block", "bucket", "part", "owned"])
+        return out.cast(table.schema)
 
+    return requests.groupBy("bucket").applyInArrow(run, _SCHEMA)
 
-def _moved(answers: DataFrame, by: int) -> DataFrame:
-    return answers.select("block", (F.col("bucket") + by).alias("bucket"), "part")
 
+def scores(docs: DataFrame, depth: int = DEPTH, size: int = BLOCK) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text).
 
-def scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
+    depth: words of the longest contexts; size: tokens of a block, which changes no result.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    packed = bucketed(blocks(docs), "blocks", "block")
-    size = packed.agg(F.sum("size")).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, int(size) // BUCKET_BYTES)
-    texts = packed.select("block", "bucket", "part")
+    packed = bucketed(blocks(docs, size), "blocks", "block")
+    sums = packed.agg(F.sum("bytes"), F.sum("learned")).first()
+    n, buckets = sums[1] or 0, max(LEAST_BUCKETS, int(sums[0] or 0) // BUCKET_BYTES)
+    texts = packed.select("block", "bucket", "part", "owned")
 
-    def visit(answers: DataFrame, act: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-        """Each block with the answers to it. Blocks are stored by bucket, so that only answers are shuffled."""
+    def visit(answers: DataFrame, levels: int, act: Callable[[int, Block], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What ``act`` gives for each block. Blocks and answers are stored by block, so that neither is shuffled."""
 
         def run(block: pa.Table, answered: pa.Table) -> pa.Table:
-            return act(pa.concat_tables([block, answered.cast(block.schema)]))
-
+            rows = sorted(zip(answered.column("bucket").to_pylist(), answered.column("part"), strict=True), key=lambda r: r[0])
+            known: dict[int, list[pa.Scalar]] = {}
+            for bucket, part in rows:
+                known.setdefault(bucket // buckets, []).append(part)
+            own = Block(block.column("part")[0], buckets, known, levels)
+            out = list(act(block.column("block")[0].as_py(), own))
+            return pa.Table.from_batches(out) if out else nothing
+
+        nothing = pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.int64())], ["block", "bucket", "part", "owned"])
         return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
-    def ask(*orders: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for number, part in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                    block = Block(part.as_buffer())
-                    for order in orders:
-                        keys, place = block.grams(order)
-                        own = np.bincount(place, block.train, len(keys))
-                        yield from _requests(number, keys, own[None], buckets, order == 0).to_batches()
-
-        return _exchange(texts.mapInArrow(run, _SCHEMA), 1, buckets, lambda total: total[0])
-
-    # answers on pairs are in buckets from 0, on words from ``buckets``, on contexts from twice that, on triples from thrice
-    counts, triples = materialise(ask(0, 1), "counts"), materialise(ask(2), "triples")
-    figures = [np.frombuffer(r["part"], np.float64) for r in counts.where("block = -1").select("part").collect()]
-    n, v = (int(x) for x in np.sum(figures, axis=0)) if figures else (0, 0)
-    counts = counts.where("block >= 0").unionByName(_moved(triples, 3 * buckets))
-
-    def diverge(table: pa.Table) -> pa.Table:
-        own = _Counted(table, buckets)
-        keys, often, places = own.contexts()
-        values = np.zeros((2, len(keys)))
-        shorter = np.maximum(own.counts[0], 1e-9) / max(n, 1)
-        for k in range(2):
-            longer = own.counts[k + 1] / np.maximum(own.before[k], 1)
-            train = own.block.train[often[k]]
-            ratio = np.log(longer[often[k]][train] / shorter[often[k]][train])
-            values[0] += np.bincount(places[k][train], ratio, len(keys))
-            values[1] += np.bincount(places[k][train], 1 / own.counts[k + 1][often[k]][train], len(keys))
-            shorter = longer
-        return _requests(table.column("block")[0].as_py(), keys, values, buckets, exact=False)
-
-    def retained(total: np.ndarray) -> np.ndarray:
-        following = np.rint(total[1])
-        return np.where((following > 0) & (total[0] >= DIVERGENCE * following), following, 0)
-
-    asked = visit(counts, diverge, _SCHEMA)
-    states = materialise(_exchange(asked, 2, buckets, retained), "states")
-
-    def score(table: pa.Table) -> pa.Table:
-        own = _Counted(table, buckets)
-        block = own.block
-        keys, often, places = own.contexts()
-        following = _answers(table, 2 * buckets, 3 * buckets, _asked(keys, buckets))
-        p = (own.counts[0] + 1) / (n + v + 1)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, part in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                block = Block(part, buckets)
+                yield from block.ask(number, 0)
+                yield from block.ask(number, 1)
+
+    answers = bucketed(_exchange(texts.mapInArrow(first, _SCHEMA), buckets, depth), "answers", "block")
+    v = answers.where(F.col("bucket") < buckets).agg(F.sum("owned")).first()[0] or 0
+
+    for level in range(2, depth + 2):
+
+        def further(number: int, block: Block, level: int = level) -> Iterator[pa.RecordBatch]:
+            if level <= depth:
+                yield from block.ask(number, level)
+            yield from block.tell(number, depth, level - 1, n)
+
+        # the states of contexts are not needed before the scores
+        counts = answers.where(F.col("bucket") < (depth + 1) * buckets)
+        answers = bucketed(_exchange(visit(counts, level, further, _SCHEMA), buckets, depth), "answers", "block", answers)
+
+    def score(number: int, block: Block) -> Iterator[pa.RecordBatch]:
+        p = (block.here[0] + 1) / (n + v + 1)
         base = block.by_text(np.log10(p))
-        for k in range(2):
-            weight = np.zeros(len(p))
-            weight[often[k]] = following[places[k]]
-            p = np.where(weight > 0, (own.counts[k + 1] + weight * p) / np.maximum(own.before[k] + weight, 1), p)
-        known = block.by_text((own.counts[0] > 0).astype(np.int64))
-        ids = block.rows.column("doc_id")
-        return pa.table(
-            [
-                ids,
-                pa.array(block.held),
-                pa.array(np.diff(block.offsets).astype(np.int64)),
-                pa.array(known.astype(np.int64)),
-                pa.array(np.full(len(ids), n, np.int64)),
-                pa.array(base.astype(np.float64)),
-                pa.array(block.by_text(np.log10(p))),
-            ],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    answers = counts.unionByName(_moved(states, 2 * buckets))
+        for k in range(1, depth + 1):
+            at, weight, count = block.following(depth, k)
+            p[at] = (block.here[k][at] + weight * p[at]) / (count + weight)
+        rows = block.rows
+        columns = [
+            rows.column("doc_id").combine_chunks(),
+            pa.array(block.held),
+            pa.array(np.diff(block.offsets)),
+            pa.array(block.by_text((block.here[0] > 0).astype(np.int64))),
+            pa.array(np.full(len(rows), n, np.int64)),
+            pa.array(base),
+            pa.array(block.by_text(np.log10(p))),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return visit(answers, score, schema)
+    out = materialise(visit(answers, depth + 1, score, schema), "scores")
+    release(packed, answers)
+    return out

@@ -24,7 +24,7 @@ from seqloom.llm import (
     url_bayes,
 )
 from seqloom.llm.scratch import new_path
-from tests.llm.cases import documents, empty, frame
+from tests.llm.cases import SCHEMA, documents, empty, frame
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -33,11 +33,11 @@ def low(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def by_id(df):
+def by_id(df, rows=None):
     out = {}
     for r in df.collect():
         out.setdefault(r["doc_id"], []).append(r)
-    assert sum(map(len, out.values())) == len(documents())
+    assert sum(map(len, out.values())) == len(rows or documents())
     return out
 
 
@@ -45,44 +45,50 @@ def sha(text):
     return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
 
 
-def test_op1(spark):
-    docs = documents()
-    held = [d[0] is None or zlib.crc32(str(d[0]).encode()) % 7 == 2 for d in docs]
-    c, pairs, triples, one, two = (collections.Counter() for _ in range(5))
-    for d, h in zip(docs, held, strict=True):
-        if not h:
-            q = [1, 1, *SPACE.findall(low(d[1])), None]
-            c.update(q[2:])
-            pairs.update(zip(q[1:], q[2:]))
-            triples.update(zip(q, q[1:], q[2:]))
-            one.update(q[1:-1])
-            two.update(zip(q[:-2], q[1:-1]))
-    n, v = sum(c.values()), len(c)
-    kinds1, kinds2, gain1, gain2 = (collections.Counter() for _ in range(4))
-    for (y, z), k in pairs.items():
-        kinds1[y] += 1
-        gain1[y] += k * math.log(k / one[y] / (c[z] / n))
-    for (x, y, z), k in triples.items():
-        kinds2[x, y] += 1
-        gain2[x, y] += k * math.log(k / two[x, y] / (pairs[y, z] / one[y]))
-    states1 = {s for s in one if one[s] >= 2 and gain1[s] >= 2 * kinds1[s]}
-    states2 = {s for s in two if two[s] >= 2 and gain2[s] >= 2 * kinds2[s]}
-    got = by_id(suffix_tree.scores(frame(spark)))
-    for d, h in zip(docs, held, strict=True):
-        q = [1, 1, *SPACE.findall(low(d[1])), None]
-        base = score = 0
-        for x, y, z in zip(q, q[1:], q[2:]):
-            p = (c[z] + 1) / (n + v + 1)
+def tree_scores(docs, held, depth):
+    """Scores by the suffix tree's definition, with one dictionary for each length."""
+    padded = [[1] * depth + SPACE.findall(low(d[1])) + [None] for d in docs]
+    counts = [collections.Counter() for _ in range(depth + 1)]  # grams of k + 1 tokens
+    context = [collections.Counter() for _ in range(depth + 1)]
+    for q, h in zip(padded, held, strict=True):
+        for i in range(depth, len(q)):
+            for k in range(depth + 1):
+                counts[k][tuple(q[i - k : i + 1])] += not h
+                context[k][tuple(q[i - k : i])] += not h
+    c, n, v = counts[0], context[0][()], sum(x > 0 for x in counts[0].values())
+    states = [{} for _ in range(depth + 1)]
+    for k in range(1, depth + 1):
+        kinds, gain = collections.Counter(), collections.Counter()
+        for g, x in counts[k].items():
+            if x:
+                kinds[g[:-1]] += 1
+                gain[g[:-1]] += round(1024 * x * math.log(x / context[k][g[:-1]] / (counts[k - 1][g[1:]] / context[k - 1][g[1:-1]])))
+        states[k] = {s: kinds[s] for s in kinds if context[k][s] >= 2 and gain[s] >= 2048 * kinds[s]}
+    for q, h in zip(padded, held, strict=True):
+        base = score = known = 0
+        for i in range(depth, len(q)):
+            p = (c[(q[i],)] + 1) / (n + v + 1)
             base += math.log10(p)
-            if y in states1:
-                p = (pairs[y, z] + kinds1[y] * p) / (one[y] + kinds1[y])
-            if (x, y) in states2:
-                p = (triples[x, y, z] + kinds2[x, y] * p) / (two[x, y] + kinds2[x, y])
+            known += c[(q[i],)] > 0
+            for k in range(1, depth + 1):
+                s = tuple(q[i - k : i])
+                if w := states[k].get(s):
+                    p = (counts[k][*s, q[i]] + w * p) / (context[k][s] + w)
             score += math.log10(p)
+        yield h, len(q) - depth, known, n, base, score
+
+
+@pytest.mark.parametrize(("depth", "size"), [(2, 1 << 19), (4, 1 << 19), (4, 300)])
+def test_op1(spark, depth, size):
+    docs = documents() + [(200 + i, *documents()[i][1:]) for i in range(0, 40, 3)]
+    held = [d[0] is None or zlib.crc32(str(d[0]).encode()) % 7 == 2 for d in docs]
+    rows = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    got = by_id(suffix_tree.scores(rows, depth, size), docs)
+    for d, (*whole, base, score) in zip(docs, tree_scores(docs, held, depth), strict=True):
         for r in got[d[0]]:
-            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, len(q) - 2, sum(c[w] > 0 for w in q[2:]), n)
+            assert [r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]] == whole
             assert r["base_score"] == pytest.approx(base, rel=1e-9)
-            assert r["score"] == pytest.approx(score, rel=1e-6)
+            assert r["score"] == pytest.approx(score, rel=1e-9)
     assert suffix_tree.scores(empty(spark)).count() == 0
 
 
