@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.scratch import bucketed, materialise, release
 from seqloom.llm.text import LOWER, NON_SPACE, Words, column_bytes, mix, pieces
 
-BLOCK, BUCKET_BYTES, LEAST_BUCKETS = 1 << 19, 4 << 20, 64
+BLOCK, BUCKET_BYTES, LEAST_BUCKETS = 1 << 20, 4 << 20, 64
 #: Words of the longest contexts, occurrences that a state must have, nats for each distinct next word.
 DEPTH, LEAST_COUNT, DIVERGENCE = 4, 2, 2.0
 #: Parts of a nat in which terms of the divergence are counted.
