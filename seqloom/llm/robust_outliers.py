@@ -6,13 +6,16 @@ covariance has the least determinant: centre and covariance of the current half,
 distances of all texts, and the nearest COVERAGE of them as the next one. Steps go on from each of
 three starts (medians and quartiles; the shortest halves of each statistic; softly cut statistics) until
 the determinant falls no more, and the start with the least one counts. So a group may have nearly half
-bad texts. Then all texts within the GOOD quantile of the half's distances give the final centre and
-covariance; the scale is from the median distance of all texts. Parts are found by a quantile of the distances and described by sums, so that a
-step is two aggregations with partial sums and no group is ever gathered in a task. All texts take part;
+bad texts. Then all texts within the GOOD quantile of the half's distances give the final centre and covariance; the scale is
+from the median distance of all texts. Parts are found by a quantile of the distances (texts at the very
+quantile belong to the part) and described by sums, so that a step is two aggregations with partial sums.
+Texts meet their group's estimate by a broadcast where there are at most SMALL estimates, else in a join
+dealt by group and SALTS parts of its texts; so no group is ever gathered in a task. All texts take part;
 there is no sampling.
 
 Nulls: a null text has no words (and fails the base rule); null language and source form groups of
-their own. Texts that fail the base rule take no part in the estimates. Repeated rows count each.
+their own. Texts that fail the base rule take no part in the estimates. Repeated rows count each. Texts of
+any length are described whole, and count as one each. A text at the very bound is kept.
 Empty tables give empty results; other columns are not read.
 """
 
@@ -32,6 +35,8 @@ from seqloom.llm.text import NON_SPACE, Words, column_bytes, mix, pieces, window
 
 #: Part of the texts that the steps rest on, texts that a group must have.
 COVERAGE, LEAST_GROUP = 0.5, 100
+#: Rows of a table of groups up to which it is broadcast, and parts of a group's texts beyond that.
+SMALL, SALTS = 20_000, 64
 #: Fall of the determinant's logarithm below which steps end, quantile up to which texts count as good.
 SETTLED, GOOD = 1e-3, 0.975
 #: Chance that a text of a normal group lies beyond the bound, and the factor for heavier tails than normal.
@@ -185,6 +190,14 @@ def _estimate(part: DataFrame, p: int) -> DataFrame:
     return found.mapInArrow(run, MODEL)
 
 
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows (with x) joined with a written table that has a few rows for each group."""
+    if table.count() <= SMALL:
+        return rows.join(F.broadcast(table), keys, how)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+
+
 def _used(good: DataFrame, least: int) -> DataFrame:
     """The groups that are the finest one with enough texts for some text."""
     levels = good.select(_levels().alias("l")).groupBy("l").agg(F.count("*").alias("n"))
@@ -216,7 +229,7 @@ def _starts(rows: DataFrame, p: int) -> DataFrame:
     first = materialise(found.mapInArrow(run, MODEL), "mcd")
     z = [(F.col("x")[i] - F.col("center")[i], F.sqrt(F.col("inverse")[i * p + i])) for i in range(p)]
     cut = F.array(*(F.col("center")[i] + F.tanh(d * s) / s for i, (d, s) in enumerate(z)))
-    soft = rows.join(first.where("start = 0"), "group").select("group", F.lit(2).alias("start"), cut.alias("x"))
+    soft = _meet(rows, first.where("start = 0"), ["group"]).select("group", F.lit(2).alias("start"), cut.alias("x"))
     both = materialise(first.unionByName(_estimate(soft, p).withColumn("logdet", F.lit(math.inf))), "mcd")
     release(first)
     return both
@@ -224,9 +237,9 @@ def _starts(rows: DataFrame, p: int) -> DataFrame:
 
 def _step(rows: DataFrame, model: DataFrame, p: int, coverage: float) -> tuple[DataFrame, DataFrame]:
     """Estimates from the nearest texts of each group and start, and the table of distances to be released."""
-    near = rows.join(model, "group").select("group", "start", "x", _distance(p).alias("d2"))
+    near = _meet(rows, model, ["group"]).select("group", "start", "x", _distance(p).alias("d2"))
     cut = materialise(near.groupBy("group", "start").agg(F.percentile_approx("d2", coverage, 1000).alias("cut")), "cut")
-    return _estimate(near.join(cut, ["group", "start"]).where("d2 <= cut").select("group", "start", "x"), p), cut
+    return _estimate(_meet(near, cut, ["group", "start"]).where("d2 <= cut").select("group", "start", "x"), p), cut
 
 
 def _least_determinant(rows: DataFrame, p: int, coverage: float) -> DataFrame:
@@ -258,18 +271,19 @@ def fit(described: DataFrame, coverage: float = COVERAGE, least: int = LEAST_GRO
     """
     p = len(FEATURES)
     good = described.where(~F.col("base_failed"))
-    rows = materialise(good.select(F.explode(_levels()).alias("group"), "x").join(F.broadcast(_used(good, least)), "group", "left_semi"), "rows")
+    used = materialise(_used(good, least), "groups")
+    rows = materialise(_meet(good.select(F.explode(_levels()).alias("group"), "x"), used, ["group"], "left_semi"), "rows")
     raw = _least_determinant(rows, p, coverage)
 
     def scaled(model: DataFrame) -> DataFrame:
-        median = rows.join(model, "group").select("group", _distance(p).alias("d2")).groupBy("group").agg(F.percentile_approx("d2", 0.5, 1000).alias("median"))
+        median = _meet(rows, model, ["group"]).select("group", _distance(p).alias("d2")).groupBy("group").agg(F.percentile_approx("d2", 0.5, 1000).alias("median"))
         return materialise(model.join(median, "group").withColumn("scale", F.greatest(F.col("median") / _chi_square(p, 0.5), F.lit(1e-9))).drop("median"), "mcd")
 
     first = scaled(raw)
-    inside = rows.join(first, "group").where(_distance(p) <= F.col("scale") * _chi_square(p, GOOD)).select("group", "start", "x")
+    inside = _meet(rows, first, ["group"]).where(_distance(p) <= F.col("scale") * _chi_square(p, GOOD)).select("group", "start", "x")
     model = materialise(_estimate(inside, p), "mcd")
     out = scaled(model)
-    release(raw, first, model)
+    release(raw, first, model, used, rows)
     return out.select("group", "center", "inverse", "scale", F.lit(HEAVY * _chi_square(p, 1 - TAIL)).alias("bound"))
 
 
@@ -279,9 +293,9 @@ def judge(described: DataFrame, model: DataFrame) -> DataFrame:
     names = model.select("group")
     marked = described.withColumn("l", _levels())
     for i in range(2):
-        marked = marked.join(names.select(F.col("group").alias(f"g{i}")), known[i] == F.col(f"g{i}"), "left")
-    marked = marked.withColumn("group", F.coalesce("g0", "g1", known[2])).drop("g0", "g1", "l")
-    out = marked.join(model, "group", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(len(FEATURES)) / F.col("scale")))
+        marked = _meet(marked.withColumn(f"k{i}", known[i]), names.select(F.col("group").alias(f"k{i}"), F.col("group").alias(f"g{i}")), [f"k{i}"], "left")
+    marked = marked.withColumn("group", F.coalesce("g0", "g1", known[2])).drop("g0", "g1", "k0", "k1", "l")
+    out = _meet(marked, model, ["group"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(len(FEATURES)) / F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("bound"), F.lit(True))
     return out.withColumn("kept", kept).drop("group", "center", "inverse", "scale", "bound")
 
