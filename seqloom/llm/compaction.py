@@ -2,7 +2,7 @@
 
 A store is a folder with immutable data files and manifests ``v<number>.json``, each of which lists
 all shards of one version. append() writes an arrival as small shards and commits a version that adds
-them. compact() merges runs of shards of one size tier (tiers grow by FANOUT) into files of about the
+them; append_dealt() deals a table's rows to several arrivals in turn, writes them all in one pass them one after another. compact() merges runs of shards of one size tier (tiers grow by FANOUT) into files of about the
 target size and commits a version that has these in place of their inputs; files of the target size
 are left alone. A version is committed by renaming a finished file to its name, which fails if another
 writer has taken that number; then the change is made anew on top of the newer version, or given up if
@@ -22,6 +22,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seqloom.llm.scratch import file_system
@@ -77,6 +78,16 @@ class ShardStore:
             raise
         return manifest["version"]
 
+    def _files(self, name: str) -> list[dict]:
+        """Name and bytes of the data files in a folder and below, by name."""
+        found, top = [], self.fs.makeQualified(self._path("x")).getParent().toString().rstrip("/")
+        each = self.fs.listFiles(self._path(name), True)
+        while each.hasNext():
+            s = each.next()
+            if s.getPath().getName().startswith("part-"):
+                found.append({"name": s.getPath().toString()[len(top) + 1 :], "bytes": s.getLen()})
+        return sorted(found, key=lambda s: s["name"])
+
     def _written(self, df: DataFrame) -> list[dict]:
         """Write a frame and return its shards."""
         name = f"data/{uuid.uuid4().hex}"
@@ -88,12 +99,10 @@ class ShardStore:
             df.write.parquet(f"{self.root}/{name}")
         finally:
             conf.unset(key) if before is None else conf.set(key, before)
-        files = [s for s in self.fs.listStatus(self._path(name)) if s.getPath().getName().startswith("part-")]
-        return sorted(({"name": f"{name}/{s.getPath().getName()}", "bytes": s.getLen()} for s in files), key=lambda s: s["name"])
+        return self._files(name)
 
-    def append(self, arrival: DataFrame) -> int:
-        """Write an arrival as it is partitioned, one shard a task, and commit it. Returns the version."""
-        shards, schema = self._written(arrival), arrival.schema.jsonValue()
+    def _added(self, shards: list[dict], schema: dict) -> int:
+        """Commit a version with more shards."""
         while True:
             now = self.manifest()
             if now["schema"] is not None and [f["name"] for f in now["schema"]["fields"]] != [f["name"] for f in schema["fields"]]:
@@ -103,6 +112,21 @@ class ShardStore:
             except Conflict:
                 continue
 
+    def append(self, arrival: DataFrame) -> int:
+        """Write an arrival as it is partitioned, one shard a task, and commit it. Returns the version."""
+        return self._added(self._written(arrival), arrival.schema.jsonValue())
+
+    def append_dealt(self, table: DataFrame, arrivals: int) -> int:
+        """Deal a table's rows to arrivals and commit each. Returns the last version.
+
+        A task writes one shard for each arrival that it has rows of; the table is read once."""
+        name, column = f"data/{uuid.uuid4().hex}", f"arrival_{uuid.uuid4().hex}"
+        table.withColumn(column, F.monotonically_increasing_id() % arrivals).write.partitionBy(column).parquet(f"{self.root}/{name}")
+        shards, version = self._files(name), 0
+        for k in range(arrivals):
+            version = self._added([s for s in shards if f"/{column}={k}/" in s["name"]], table.schema.jsonValue())
+        return version
+
     def tier(self, size: int) -> int:
         tier, edge = 0, SMALLEST
         while size > edge:
@@ -154,15 +178,13 @@ class ShardStore:
         for v in known[:-keep]:
             self.fs.delete(self._path(f"manifests/v{v}.json"), False)
         used = {s["name"] for v in known[-keep:] for s in self.manifest(v)["shards"]}
-        folders = {n.rsplit("/", 1)[0] for n in used}
+        folders = {n.split("/")[1] for n in used}
         for folder in self.fs.listStatus(self._path("data")):
-            name = f"data/{folder.getPath().getName()}"
-            if name not in folders:
+            if folder.getPath().getName() not in folders:
                 self.fs.delete(folder.getPath(), True)
-                continue
-            for f in self.fs.listStatus(folder.getPath()):
-                if f"{name}/{f.getPath().getName()}" not in used:
-                    self.fs.delete(f.getPath(), False)
+        for s in self._files("data"):
+            if s["name"] not in used:
+                self.fs.delete(self._path(s["name"]), False)
 
     def read(self, version: int | None = None) -> DataFrame:
         manifest = self.manifest(version)
@@ -172,10 +194,3 @@ class ShardStore:
         if not manifest["shards"]:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{s['name']}" for s in manifest["shards"]))
-
-
-def arrivals(table: DataFrame, most: int = 8) -> list[DataFrame]:
-    """A table's files as at most ``most`` arrivals, in the order of their names; each file is in one."""
-    files = sorted(table.inputFiles())
-    spark, size = table.sparkSession, -(-len(files) // most)
-    return [spark.read.schema(table.schema).parquet(*files[i : i + size]) for i in range(0, len(files), size)] or [table]

@@ -39,8 +39,7 @@ def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = compaction.ShardStore(spark, new_path(spark, "store"))
-    for arrival in compaction.arrivals(table(spark, sf_dir, "documents")):
-        store.append(arrival)
+    store.append_dealt(table(spark, sf_dir, "documents"), 8)
     version = store.compact()
     store.vacuum()
     return store.read(version).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))

@@ -150,6 +150,21 @@ def test_op3(spark):
         compaction.ShardStore(spark, new_path(spark, "store")).read()
 
 
+def test_op3_one_file(spark):
+    """A table of one file arrives in several shards, which are merged to one."""
+    docs = frame(spark).withColumn("arrival", F.lit("mine")).coalesce(1)
+    store = compaction.ShardStore(spark, new_path(spark, "store"))
+    assert store.append_dealt(docs, 8) == 8
+    assert len(store.manifest()["shards"]) == 8
+    assert [store.read(k).count() for k in (1, 8)] == [11, len(documents())]
+    assert store.compact() == 9
+    assert len(store.manifest()["shards"]) == 1
+    store.vacuum()
+    assert len(store._files("data")) == 1
+    assert store.read().columns == docs.columns
+    assert sorted(map(repr, store.read().collect())) == sorted(map(repr, docs.collect()))
+
+
 def test_op4(spark):
     items = [(1, documents()[3][1]), (2, "THE of"), (3, None), (4, "..."), (None, documents()[60][1]), (5, documents()[3][1].upper()), (6, "y z y z y z y z y z y")]
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
