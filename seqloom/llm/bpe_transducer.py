@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from seqloom.llm.text import pieces
 
 MAX_STATES, WANTED = 250_000, 100
-#: Pre-tokens whose ids are kept until all are forgotten.
-MAX_WORDS = 1_500_000
+#: Pre-tokens whose ids are kept until all are forgotten, which is also done at the end of a task.
+MAX_WORDS = 600_000
 RUN = 1 << 16
 
 
@@ -266,6 +266,9 @@ class _Recent:
 
     def __init__(self, make: Callable[[str], tuple]) -> None:
         self.make = make
+        self.forget()
+
+    def forget(self) -> None:
         self.numbers: dict[str, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
@@ -278,7 +281,7 @@ class _Recent:
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words one after another, and how many each has."""
         if len(self.numbers) > MAX_WORDS:
-            self.__init__(self.make)
+            self.forget()
         known, add = self.numbers.get, self._add
         at = np.array([known(w) or add(w) for w in words], np.int64)
         ends = np.frombuffer(self.ends, np.int64)
@@ -412,6 +415,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(written, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        own.recent.forget()  # the worker may go on with other stages
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
