@@ -1,10 +1,7 @@
 """Queries over the reads view, by name, with their SQL.
 
 Column queries apply one operation each. Round-trip queries write the view in a file format, scan the
-files and return the rows; their SQL is the view itself.
-
-The view keeps 150 letters of each text, and the SQL of these queries holds them to that. Each query
-over the view has a twin named whole_ and its name, over all letters of each text, with SQL of its own.
+files and return the rows; their SQL is the view itself. The view has all letters of each text.
 """
 
 from __future__ import annotations
@@ -18,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import records as R
 from seqloom.operators import chunking, pairing
-from seqloom.plans.reads_view import READS_SQL, WHOLE_READS_SQL, is_whole, reads, whole_texts
+from seqloom.plans.reads_view import READS_SQL, reads
 from seqloom.plans.workspace import new_path
 from seqloom.sources import facade, sinks
 from seqloom.sources.detect import name_format
@@ -52,16 +49,14 @@ def column(name: str, columns: Callable[[], dict[str, Column]], sql: str) -> Non
 
 
 def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second reads: the other number in the name, and the reverse complement of the last 100 bases (of all, in whole_texts())."""
+    """The second reads: the other number in the name, and the reverse complement of all bases."""
     first = reads(spark, sf_dir)
-    last = (lambda c: F.col(c)) if is_whole() else (lambda c: F.right(c, F.lit(100)))
     other = F.regexp_replace(R.read_id("name"), "/[123]$", "/2")
-    return first.select("rec_idx", other.alias("name"), R.reverse_complement(last("sequence")).alias("sequence"), F.reverse(last("qualities")).alias("qualities"))
+    return first.select("rec_idx", other.alias("name"), R.reverse_complement("sequence").alias("sequence"), F.reverse("qualities").alias("qualities"))
 
 
 _MATES = f"""SELECT rec_idx, regexp_replace({_ID.format("name")}, '/[123]$', '/2') AS name,
-  {_REVCOMP.format("right(sequence, 100)")} AS sequence, reverse(right(qualities, 100)) AS qualities FROM reads"""
-_WHOLE_MATES = _MATES.replace("right(sequence, 100)", "sequence").replace("right(qualities, 100)", "qualities")
+  {_REVCOMP.format("sequence")} AS sequence, reverse(qualities) AS qualities FROM reads"""
 _PAIRS = f"""SELECT a.rec_idx, a.name AS name1, a.sequence AS sequence1, a.qualities AS qualities1,
   b.name AS name2, b.sequence AS sequence2, b.qualities AS qualities2 FROM reads a JOIN ({_MATES}) b USING (rec_idx)"""
 _ROWS = "SELECT rec_idx, name, sequence, qualities FROM reads"
@@ -119,7 +114,7 @@ for _name, _cut, _sql in (
 column(
     "every_third",
     lambda: {"sequence": R.slice_string("sequence", 1, None, 3)},
-    "coalesce(array_to_string(list_transform(range(1, length(sequence), 3), lambda i: sequence[i + 1]), ''), '') AS sequence",
+    r"regexp_replace(substr(sequence, 2), '(.).{0,2}', '\1', 'g') AS sequence",
 )
 column("char_at", lambda: {"first": R.char_at("sequence", 0), "last": R.char_at("sequence", -1)}, "nullif(left(sequence, 1), '') AS first, nullif(right(sequence, 1), '') AS last")
 column("revcomp", lambda: {"sequence": R.reverse_complement(), "qualities": F.reverse("qualities")}, f"{_REVCOMP.format('sequence')} AS sequence, reverse(qualities) AS qualities")
@@ -170,9 +165,10 @@ def _next(spark: SparkSession, sf_dir: str, by: int = 1) -> DataFrame:
 
 @query(f"SELECT a.rec_idx, {_SQL_MATE.format('substr(' + _ID.format('a.name') + ', 3)', 'substr(' + _ID.format('b.name') + ', 3)')} AS mates FROM {_SHIFTED}")
 def is_mate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lambda c: F.substring(R.read_id(c), 3, 1000)
+    cut = lambda c: F.expr(f"substring({c}, 3)")
     met = reads(spark, sf_dir).join(_next(spark, sf_dir), "rec_idx")
-    return met.select("rec_idx", R.is_mate(cut("name"), cut("name_b")).alias("mates"))
+    met = met.select("rec_idx", R.read_id("name").alias("a"), R.read_id("name_b").alias("b"))
+    return met.select("rec_idx", R.is_mate(cut("a"), cut("b")).alias("mates"))
 
 
 @query(f"SELECT a.rec_idx FROM reads a JOIN ({_MATES}) b ON {_SQL_MATE.format(_ID.format('a.name'), _ID.format('b.name'))}")
@@ -255,6 +251,8 @@ _round_trip("roundtrip_fastq_gz", "reads.fastq.gz")
 _round_trip("roundtrip_fastq_bz2", "reads.fastq.bz2")
 _round_trip("roundtrip_fastq_xz", "reads.fastq.xz", one_file=True)
 _round_trip("roundtrip_fastq_zst", "reads.fastq.zst", one_file=True)
+_round_trip("roundtrip_fastq_gz_split", "reads.fastq.gz", read={"whole_bytes": 0}, one_file=True)
+_round_trip("roundtrip_fastq_bz2_split", "reads.fastq.bz2", read={"whole_bytes": 0}, one_file=True)
 _round_trip("roundtrip_fasta", "reads.fasta", _FASTA_ROWS)
 _round_trip("roundtrip_fasta_split", "reads.fasta", _FASTA_ROWS, read={"whole_bytes": 0}, one_file=True)
 _round_trip("roundtrip_fasta_wrapped", "reads.fasta", _FASTA_ROWS, line_length=60)
@@ -298,6 +296,46 @@ def append_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, path, fileformat="fastq")
 
 
+_TWICE = "SELECT rec_idx + k * (SELECT count(*) FROM reads) AS rec_idx, {0} FROM ({1}) t, (VALUES (0), (1)) v(k)"
+
+
+@query(_TWICE.format("name, sequence, qualities", _ROWS))
+def append_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writes of several part files each to one folder."""
+    path = new_path(spark, "reads.fastq")
+    for mode in ("w", "a"):
+        sinks.write(_dense(spark, sf_dir), path, mode=mode)
+    return _scanned(spark, path)
+
+
+_SIDES = "name1, sequence1, qualities1, name2, sequence2, qualities2"
+
+
+@query(_TWICE.format(_SIDES, _PAIRS))
+def append_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = new_path(spark, "r1.fastq"), new_path(spark, "r2.fastq")
+    for mode in ("w", "a"):
+        facade.write(pairing.pair(_dense(spark, sf_dir), mates(spark, sf_dir)), *paths, mode=mode)
+    return _flat(facade.read(spark, *paths, fileformat="fastq"))
+
+
+@query(_TWICE.format(_SIDES, _PAIRS))
+def append_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "both.fastq")
+    for mode in ("w", "a"):
+        facade.write(pairing.pair(_dense(spark, sf_dir), mates(spark, sf_dir)), path, interleaved=True, mode=mode)
+    return _flat(facade.read(spark, path, interleaved=True, fileformat="fastq"))
+
+
+@query(_FASTA_ROWS)
+def roundtrip_triple_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three FASTA files, told by their names."""
+    paths = [new_path(spark, f"r{k}.fasta") for k in range(3)]
+    rows = _dense(spark, sf_dir)
+    facade.write(pairing.zip_records(rows, mates(spark, sf_dir), rows), *paths)
+    return facade.read(spark, *paths).select("rec_idx", F.col("records")[2].alias("r")).select("rec_idx", "r.*")
+
+
 def bam_bytes(rows: list[tuple[str, str, str | None]]) -> bytes:
     """The records of an unaligned BAM file, without a header."""
     out, codes = [], {c: i for i, c in enumerate(R.BAM_CODES)}
@@ -338,29 +376,16 @@ class _AnyBam(dict):
         return "bam_no_header"
 
 
-@query()
+_CHUNKS = """, p AS (
+  SELECT rec_idx // 2 AS pair, sum(length(name) + 2 * length(sequence) + 6) AS width FROM reads GROUP BY 1
+), q AS (
+  SELECT pair, coalesce(sum(width) OVER (ORDER BY pair ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p
+)
+SELECT CAST(floor(before / 65536) AS BIGINT) AS chunk, count(*) AS n_records FROM reads JOIN q ON pair = rec_idx // 2 GROUP BY 1"""
+
+
+@query(_CHUNKS)
 def chunk_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in each chunk of 64 KiB of the view."""
     rows = reads(spark, sf_dir).withColumn("file", F.lit("reads"))
     return chunking.chunks(rows, 64 << 10).groupBy("chunk").agg(F.count("*").alias("n_records"))
-
-
-# twins over whole texts
-
-#: Queries that do not read the view.
-_NO_VIEW = {"ascii_check", "detect_format_names", "bam_nibble_decode"}
-
-
-def _whole(name: str, f: Query) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with whole_texts():
-            return f(spark, sf_dir)
-
-    QUERIES[f"whole_{name}"] = run
-    if name in SQL:
-        SQL[f"whole_{name}"] = SQL[name].replace(READS_SQL, WHOLE_READS_SQL).replace(_MATES, _WHOLE_MATES)
-
-
-for _name, _f in list(QUERIES.items()):
-    if _name not in _NO_VIEW:
-        _whole(_name, _f)

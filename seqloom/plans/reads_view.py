@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,32 +9,14 @@ from pyspark.sql import functions as F
 LETTERS, CODES = "EFIJLOPQXZ", "ACGTNACGTN"
 BASES, QUALITIES = "ABCDGHKMNRSTUVWY", "I#5?FHB<!G>E=D9;"
 
-_WHOLE = ContextVar("whole", default=False)
-
-
-@contextmanager
-def whole_texts() -> Iterator[None]:
-    """In this block the view's sequences are all letters of each text, as in WHOLE_READS_SQL, not the first 150."""
-    token = _WHOLE.set(True)
-    try:
-        yield
-    finally:
-        _WHOLE.reset(token)
-
-
-def is_whole() -> bool:
-    return _WHOLE.get()
-
-
 def _quality(sequence: Column) -> Column:
     return F.translate(sequence, BASES, QUALITIES)
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_idx, name, sequence, qualities, source: one record for each document, cut to 150 letters but in whole_texts()."""
+    """rec_idx, name, sequence, qualities, source: one record for each document, of all letters of its text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     letters = F.regexp_replace("text", "[^A-Za-z]", "")
-    letters = letters if is_whole() else F.substring(letters, 1, 150)
     mate = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("/"), (1 + F.col("doc_id") % 3).cast("string")))
     comment = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit(" "), "lang", F.lit(" "), "source"))
     return (
@@ -51,7 +29,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 READS_SQL = f"""
 WITH b AS (
   SELECT doc_id, lang, source,
-    translate(upper(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 150)), '{LETTERS}', '{CODES}') AS sequence
+    translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{CODES}') AS sequence
   FROM documents
 ), reads AS (
   SELECT doc_id AS rec_idx,
@@ -62,7 +40,3 @@ WITH b AS (
   FROM b
 )
 """
-
-_LETTERS_SQL = "regexp_replace(text, '[^A-Za-z]', '', 'g')"
-#: The same with all letters of each text.
-WHOLE_READS_SQL = READS_SQL.replace(f"substr({_LETTERS_SQL}, 1, 150)", _LETTERS_SQL)

@@ -7,6 +7,7 @@ import gzip
 import lzma
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,10 @@ _FROM_HEX = bytes.maketrans(b"0123456789abcdef", BAM_CODES.encode())
 _QUALITY = bytes((i + 33) % 256 for i in range(256))
 
 
+def is_compressed(head: bytes) -> bool:
+    return head.startswith((GZIP, XZ, BZ2, ZSTD))
+
+
 def decompress(data: bytes) -> bytes:
     """By the first bytes, whatever the name; concatenated members are joined."""
     if data.startswith(GZIP):
@@ -40,6 +45,22 @@ def decompress(data: bytes) -> bytes:
     return data
 
 
+def decompress_start(data: bytes, n: int = 64) -> bytes:
+    """The first n decompressed bytes (or fewer), from the first bytes of a file."""
+    if data.startswith(GZIP):
+        return zlib.decompressobj(31).decompress(data, n)
+    if data.startswith(XZ):
+        return lzma.LZMADecompressor().decompress(data, n)
+    if data.startswith(BZ2):
+        return bz2.BZ2Decompressor().decompress(data, n)
+    if data.startswith(ZSTD):
+        import zstandard
+
+        with zstandard.ZstdDecompressor().stream_reader(data) as f:
+            return f.read(n)
+    return data[:n]
+
+
 def fastq_lines(data: bytes) -> list[bytes]:
     """Lines as the scan sees them: a final newline ends the last line and begins none."""
     lines = data.split(b"\n")
@@ -56,7 +77,11 @@ def fastq_columns(lines: pa.Array, first_record: int) -> tuple[pa.Array, pa.Arra
     """
     columns = [lines.take(pa.array(np.arange(k, len(lines), 4))) for k in range(4)]
     if not all(map(_ascii, columns)):
-        raise FastqFormatError("non-ASCII characters", None)
+        for i, line in enumerate(lines):
+            raw = line.as_buffer().to_pybytes()
+            if not raw.isascii():
+                at = next(k for k, byte in enumerate(raw) if byte > 127)
+                raise FastqFormatError(f"non-ASCII byte in line {4 * first_record + i + 1} at place {at + 1}", None)
     head, sequence, plus, quality = (pc.replace_substring_regex(x.cast(pa.string()), r"\r$", "") if _any_cr(x) else x.cast(pa.string()) for x in columns)
     names, again = (pc.utf8_slice_codeunits(x, 1, 1 << 40) for x in (head, plus))
     checks = [
@@ -87,8 +112,6 @@ def _ascii(x: pa.Array) -> bool:
 
 def fastq_table(data: bytes) -> tuple[pa.Array, pa.Array, pa.Array]:
     """A whole file."""
-    if not data.isascii():
-        raise FastqFormatError("non-ASCII characters", None)
     lines = fastq_lines(data)
     whole = len(lines) - len(lines) % 4
     out = fastq_columns(pa.array(lines[:whole], pa.binary()), 0)
@@ -108,10 +131,16 @@ def two_headers(data: bytes) -> bool:
     return len(lines) > 2 and len(lines[2].rstrip(b"\r")) > 1
 
 
-def fasta_records(text: str, keep_linebreaks: bool = False) -> Iterator[tuple[str, str]]:
-    """name and sequence of each record; blank and ``#`` lines are skipped anywhere."""
+def fasta_lines(text: str) -> tuple[int, int]:
+    """Line breaks and headers of a text."""
+    lines = _NEWLINE.split(text)
+    return len(lines) - 1, sum(line.strip()[:1] == ">" for line in lines)
+
+
+def fasta_records(text: str, keep_linebreaks: bool = False, first_line: int = 0) -> Iterator[tuple[str, str]]:
+    """name and sequence of each record; blank and ``#`` lines are skipped anywhere. first_line: the text's place in its file."""
     name, parts, joint = None, [], "\n" if keep_linebreaks else ""
-    for number, raw in enumerate(_NEWLINE.split(text)):
+    for number, raw in enumerate(_NEWLINE.split(text), first_line):
         line = raw.strip()
         if not line or line[0] == "#":
             continue

@@ -2,10 +2,11 @@
 
 Two physical forms give the same rows:
 
-* whole files: one task reads a file's bytes and parses them. For compressed files, BAM, and files of
-  at most WHOLE_BYTES. A file must fit in a task (and in 2 GB, Spark's limit for one value).
-* split files: Spark's text reader splits a large FASTQ or FASTA file at any byte, keeping lines
-  whole. A first pass counts each split's lines (or records); running sums give each split its first
+* whole files: one task reads a file's bytes and parses them. For BAM, .xz and .zst files, compressed
+  files that their names don't tell, and files of at most WHOLE_BYTES. A file must fit in a task (and in
+  2 GB, Spark's limit for one value).
+* split files: Spark's text reader splits a large FASTQ or FASTA file (plain or .bz2) at any byte,
+  keeping lines whole, and streams a .gz file through one task. A first pass counts each split's lines (or records); running sums give each split its first
   ordinal. A second pass parses. FASTQ records that cross splits are put together from the first and
   last three lines of the splits, which the first pass has kept aside.
 
@@ -15,7 +16,9 @@ the tasks are 16 bytes for each split.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -26,25 +29,27 @@ from pyspark.sql.window import Window
 from seqloom.errors import UnknownFileFormat
 from seqloom.sources import parsers
 from seqloom.plans.workspace import new_path
-from seqloom.sources.detect import COMPRESSED, by_content, by_name
+from seqloom.sources.detect import COMPRESSED, by_content, by_name, in_order, order_columns
+from seqloom.sources.stores import first_bytes
 
 SCHEMA = "file string, rec_idx long, name string, sequence string, qualities string"
 FIELDS = ["file", "rec_idx", "name", "sequence", "qualities"]
 FORMATS = ("fasta", "fastq", "bam", "bam_no_header")
 WHOLE_BYTES = 32 << 20
+#: Endings that Spark's text reader decompresses, and bytes read to tell a format (a block of bzip2 at least).
+STREAMED, HEAD_BYTES = (".gz", ".bz2"), 1 << 20
 _ROWS = 1 << 14
 
 
 def list_files(spark: SparkSession, *paths: str) -> list[tuple[str, int]]:
     """Path and length of each data file, by path."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(map(str, paths))).select("path", "length").collect()
-    return sorted((r["path"], r["length"]) for r in rows)
+    return sorted(((r["path"], r["length"]) for r in rows), key=lambda f: in_order(f[0]))
 
 
 def head(spark: SparkSession, path: str) -> bytes:
-    """The first decompressed bytes of a small or compressed file."""
-    row = spark.read.format("binaryFile").load(path).select("content").first()
-    return parsers.decompress(bytes(row["content"]))[:4] if row else b""
+    """The first decompressed bytes of a file of any size."""
+    return parsers.decompress_start(first_bytes(spark, path, HEAD_BYTES))[:4]
 
 
 def resolve_format(spark: SparkSession, path: str, length: int, fileformat: str | None = None) -> str:
@@ -53,13 +58,7 @@ def resolve_format(spark: SparkSession, path: str, length: int, fileformat: str
         if fileformat not in FORMATS:
             raise UnknownFileFormat(f"format {fileformat!r} is not one of {', '.join(FORMATS)}")
         return fileformat
-    found = by_name(path)
-    if found is None:
-        if length > WHOLE_BYTES:
-            first = spark.read.option("wholetext", "false").text(path).limit(1).collect()
-            found = by_content(first[0][0][:4].encode() if first else b"")
-        else:
-            found = by_content(head(spark, path))
+    found = by_name(path) or by_content(head(spark, path))
     if found is None:
         raise UnknownFileFormat(f"neither name nor content tells the format of {path}")
     return found
@@ -249,36 +248,52 @@ def split_fasta(spark: SparkSession, files: list[str], keep_linebreaks: bool = F
     """Records of large FASTA files. The text reader cuts before lines that begin with ``>``."""
     chunks = _text(spark, files, "\n>")
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bool, list[tuple[str, str]]]]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bool, str]]:
+        """File, its split's start, whether the split begins here, text; the separator is put back."""
         for file, start, rows, begins in _blocks(batches):
             for i, value in enumerate(rows.column(2)):
                 text = value.as_buffer().to_pybytes().decode("utf-8", "replace")
                 first = begins and i == 0
-                yield file, start, first, list(parsers.fasta_records(text if first and start == 0 else ">" + text, keep_linebreaks))
+                yield file, start, first, text if first and start == 0 else ">" + text
+
+    def breaks(text: str) -> tuple[int, int]:
+        """Lines up to the next text, and headers."""
+        lines, headers = parsers.fasta_lines(text)
+        return lines + (not text.endswith("\r")), headers
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, int], int] = {}
-        for file, start, _, found in records(batches):
-            total[file, start] = total.get((file, start), 0) + len(found)
+        total: dict[tuple[str, int], list[int]] = {}
+        for file, start, _, text in texts(batches):
+            own = total.setdefault((file, start), [0, 0])
+            lines, headers = breaks(text)
+            own[0] += headers
+            own[1] += lines
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total]), pa.array(list(total.values()))], ["file", "start", "n"])
+            sums = list(total.values())
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total]), pa.array([x for x, _ in sums]), pa.array([y for _, y in sums])], ["file", "start", "n", "lines"])
 
-    _, firsts = _firsts(chunks.mapInArrow(count, "file string, start long, n long"))
+    aside = new_path(spark, "splits")
+    chunks.mapInArrow(count, "file string, start long, n long, lines long").write.parquet(aside)
+    counted = spark.read.parquet(aside)
+    firsts = _firsts(counted.select("file", "start", "n"))[1]
+    first_lines = _firsts(counted.select("file", "start", F.col("lines").alias("n")))[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, name = 0, [], None
+        at, line, held, name = 0, 0, [], None
 
         def flush() -> pa.RecordBatch:
             n = len(held)
             return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(at - n, at)), pa.array([h[0] for h in held]), pa.array([h[1] for h in held]), pa.nulls(n, pa.string())], FIELDS)
 
-        for file, start, first, found in records(batches):
+        for file, start, first, text in texts(batches):
             if first or len(held) >= _ROWS:
                 if held:
                     yield flush()
                 held = []
                 if first:
-                    at, name = firsts[file, start], file
+                    at, line, name = firsts[file, start], first_lines[file, start], file
+            found = list(parsers.fasta_records(text, keep_linebreaks, line))
+            line += breaks(text)[0]
             held += found
             at += len(found)
         if held:
@@ -287,17 +302,53 @@ def split_fasta(spark: SparkSession, files: list[str], keep_linebreaks: bool = F
     return chunks.mapInArrow(run, SCHEMA)
 
 
-def scan(spark: SparkSession, *paths: str, fileformat: str | None = None, keep_linebreaks: bool = False, whole_bytes: int = WHOLE_BYTES, ordinals: str = "file") -> DataFrame:
+def _given(spark: SparkSession, sources: list, fileformat: str | None, opener: Callable[[str, str], BinaryIO] | None, keep_linebreaks: bool) -> DataFrame:
+    """Records of open binary files, of ``-`` (standard input), and of paths that an opener opens in a task."""
+    rows = []
+    for k, source in enumerate(sources):
+        if hasattr(source, "read") or source == "-":
+            data = (sys.stdin.buffer if source == "-" else source).read()
+            rows.append((str(getattr(source, "name", f"stream {k}")), data.encode() if isinstance(data, str) else data))
+        else:
+            rows.append((str(source), None))
+    files = spark.createDataFrame(rows, "path string, content binary")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if content is None:
+                    with opener(path, "rb") as f:
+                        content = f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], ["path", "content"])
+
+    kinds = {path: resolve_format(spark, path, 0, fileformat) for path, _ in rows} if fileformat else {}
+    return whole_files(files.mapInArrow(load, "path string, content binary"), kinds, keep_linebreaks, detect=True)
+
+
+def scan(
+    spark: SparkSession, *paths: str | BinaryIO, fileformat: str | None = None, keep_linebreaks: bool = False, whole_bytes: int = WHOLE_BYTES, ordinals: str = "file",
+    opener: Callable[[str, str], BinaryIO] | None = None,
+) -> DataFrame:
     """file, rec_idx, name, sequence, qualities of all files under the paths.
 
     rec_idx is dense from 0 in each file; with ordinals="all", it runs on over the files by path (a
-    folder of part files is then one file). Qualities are null for FASTA and where BAM has none.
+    folder of part files is then one file, whose parts are ordered by append and number). Qualities are
+    null for FASTA and where BAM has none. A path may also be an open binary file, or ``-`` for standard
+    input, which the driver reads; with an opener, tasks open each path by opener(path, "rb"). These are
+    parsed whole, one file a task.
     """
     if not paths:
         raise ValueError("at least one path is needed")
+    special = [p for p in paths if opener or hasattr(p, "read") or p == "-"]
+    if special:
+        if len(special) < len(paths):
+            raise ValueError("open files and paths cannot be scanned together")
+        return _numbered(_given(spark, special, fileformat, opener, keep_linebreaks), ordinals)
     files = list_files(spark, *paths)
     kinds = {path: resolve_format(spark, path, length, fileformat) for path, length in files if length or by_name(path) or fileformat}
-    whole = [p for p, n in files if p in kinds and (n <= whole_bytes or kinds[p].startswith("bam") or p.lower().endswith(COMPRESSED))]
+    packed = {p for p in kinds if p.lower().endswith(COMPRESSED)}
+    packed |= {p for p, n in files if p in kinds and n > whole_bytes and p not in packed and parsers.is_compressed(first_bytes(spark, p, 8))}
+    whole = [p for p, n in files if p in kinds and (n <= whole_bytes or kinds[p].startswith("bam") or p in packed and not p.lower().endswith(STREAMED))]
     parts = []
     if whole:
         parts.append(whole_files(spark.read.format("binaryFile").load(whole), {p: kinds[p] for p in whole}, keep_linebreaks))
@@ -310,10 +361,15 @@ def scan(spark: SparkSession, *paths: str, fileformat: str | None = None, keep_l
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    return _numbered(out, ordinals)
+
+
+def _numbered(out: DataFrame, ordinals: str) -> DataFrame:
+    """Ordinals by file, or running on over all files."""
     if ordinals == "file":
         return out
     sizes = out.groupBy("file").agg(F.count("*").alias("n"))
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    order = Window.orderBy(*order_columns(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     moved = sizes.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_before"))
     return out.join(moved, "file").select("file", (F.col("rec_idx") + F.col("_before")).alias("rec_idx"), "name", "sequence", "qualities")
 

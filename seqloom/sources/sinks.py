@@ -5,6 +5,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import lzma
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from seqloom.errors import UnknownFileFormat
 from seqloom.functions.records import fasta_text, fastq_text, problem
-from seqloom.sources.detect import by_name
+from seqloom.sources.detect import GENERATION, by_name
+from seqloom.sources.stores import file_system
 
 COMPRESSIONS = {".gz": "gzip", ".bz2": "bzip2", ".xz": "xz", ".zst": "zstd"}
 
@@ -62,13 +64,19 @@ def _ordered(records: DataFrame, one_part: bool) -> DataFrame:
     return records.repartitionByRange(F.col("rec_idx")).sortWithinPartitions("rec_idx")
 
 
+#: Hadoop's names for levels of gzip.
+_LEVELS = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
+
+
 def write(
     records: DataFrame, path: str, fileformat: str | None = None, *, two_headers: bool = False, line_length: int | None = None,
-    mode: str = "w", compression: str | None = None, one_part: bool = False, in_order: bool = True,
+    mode: str = "w", compression: str | None = None, compression_level: int = 1, one_part: bool = False, in_order: bool = True,
 ) -> None:
     """Write a folder of part files, in the order of rec_idx if there is one.
 
-    mode: w replaces, a adds part files. Compression (gzip, bzip2) is by name unless given.
+    mode: w replaces; a adds part files, which are written aside and then renamed so that they come
+    after all that are there, in their own order. Compression (gzip, bzip2) is by name unless given;
+    compression_level is gzip's.
     """
     kind = output_format(path, fileformat, True if fileformat is None else None, mode)
     rows = _ordered(records, one_part) if in_order else records
@@ -76,7 +84,30 @@ def write(
     codec = compression or ending or "none"
     if codec not in ("none", "gzip", "bzip2"):
         raise ValueError(f"{codec} is written by write_file() only")
-    rows.select(record_text(kind, two_headers, line_length)).write.mode("append" if mode == "a" else "overwrite").option("compression", codec).text(path)
+    aside = f"{path.rstrip('/')}/_{uuid.uuid4().hex}" if mode == "a" else path
+    writer = rows.select(record_text(kind, two_headers, line_length)).write.mode("overwrite").option("compression", codec)
+    if codec == "gzip":
+        writer = writer.option("zlib.compress.level", _LEVELS[compression_level])
+    writer.text(aside)
+    if mode == "a":
+        _take_in(records, aside, path.rstrip("/"))
+
+
+def _take_in(records: DataFrame, aside: str, path: str) -> None:
+    """Rename the part files of a folder into ``path`` as its next generation."""
+    fs, folder = file_system(records.sparkSession, path)
+    child = lambda name: file_system(records.sparkSession, f"{path}/{name}")[1]
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    if any(n.startswith("part-") for n in names):
+        last = max([0, *(int(m[1]) for n in names if (m := GENERATION.match(n)))])
+        prefix = f"part-g{last + 1:06d}-"
+    else:
+        prefix = ""
+    new = sorted((s.getPath() for s in fs.listStatus(file_system(records.sparkSession, aside)[1])), key=lambda p: p.getName())
+    for p in new:
+        if p.getName().startswith("part-"):
+            fs.rename(p, child(prefix + p.getName()))
+    fs.delete(file_system(records.sparkSession, aside)[1], True)
 
 
 def _compressor(codec: str | None, level: int) -> Callable[[bytes], bytes]:
@@ -108,20 +139,16 @@ def write_file(records: DataFrame, path: str, fileformat: str | None = None, *,
                 text = "".join(x + "\n" for x in batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([compress(text.encode("ascii"))], pa.binary())], ["member"])
 
-    spark = records.sparkSession
     rows = _ordered(records, False).select(record_text(kind, two_headers, line_length)).mapInArrow(run, "member binary")
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    before = b""
-    if mode == "a" and fs.exists(target):
-        stream = fs.open(target)
-        before = bytes(stream.readAllBytes())
-        stream.close()
+    fs, target = file_system(records.sparkSession, path)
     # a failed job leaves the file as it was
-    beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".unfinished")
+    beside = file_system(records.sparkSession, path + ".unfinished")[1]
     stream = fs.create(beside, True)
     try:
-        stream.write(bytearray(before))
+        if mode == "a" and fs.exists(target):
+            before = fs.open(target)
+            before.transferTo(stream)
+            before.close()
         for row in rows.toLocalIterator():
             stream.write(bytearray(row["member"]))
     finally:

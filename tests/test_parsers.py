@@ -23,8 +23,8 @@ def line_of(data):
 
 
 def test_fastq_records():
-    data = b"@first\nSEQ1\n+\n:6;;\n@second\nSEQ2\n+\n83<?\n"
-    assert fastq(data) == [("first", "SEQ1", ":6;;"), ("second", "SEQ2", "83<?")]
+    data = b"@one more\nGATTACA\n+\nABCDEFG\n@two\nNN\n+\n!~\n"
+    assert fastq(data) == [("one more", "GATTACA", "ABCDEFG"), ("two", "NN", "!~")]
     assert fastq(data[:-1]) == fastq(data)
     assert fastq(data.replace(b"\n", b"\r\n")) == fastq(data)
     assert fastq(b"") == []
