@@ -17,7 +17,7 @@ encoding too, with k = 26.
 Only DataFrame functions touch the texts. The counts by encoding, band and score, which are at most a
 few ten thousand rows of numbers however large the corpus is, come to the driver.
 
-Nulls: a null text is empty and has no span. Positions are code points, ends exclusive. Repeated rows
+Texts are searched whole, in time that follows their length. Nulls: a null text is empty and has no span. Positions are code points, ends exclusive. Repeated rows
 are answered each. Empty tables give empty results; other columns are not read.
 """
 
@@ -58,15 +58,23 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     between = F.split(text, pattern)
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     rows = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"), part.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    # the starts go to one string: an array would be copied element by element at each match
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("starts"))
 
     def step(acc: Column, row: Column) -> Column:
         low = acc["at"] + F.length(row["b"])
-        high = low + F.length(row["m"])
-        own = F.struct(low.alias("start"), F.lit(kind).alias("kind"), high.alias("end"), row["g"].alias("text"))
-        return F.struct(high.alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+        return F.struct((low + F.length(row["m"])).alias("at"), F.concat(acc["starts"], low.cast("string"), F.lit(",")).alias("starts"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    def span(row: Column) -> Column:
+        low = row["s"].cast("int")
+        return F.struct(low.alias("start"), F.lit(kind).alias("kind"), (low + F.length(row["r"]["m"])).alias("end"), row["r"]["g"].alias("text"))
+
+    def placed(r: Column) -> Column:
+        starts = F.split(F.aggregate(r, zero, step, lambda acc: acc["starts"]), ",")
+        return F.transform(F.arrays_zip(r.alias("r"), F.slice(starts, 1, F.size(r)).alias("s")), span)
+
+    # rows are bound once, so that the text is not searched again for each use
+    return F.transform(F.array(rows), placed)[0]
 
 
 def _alphabet(token: Column) -> Column:
