@@ -4,7 +4,7 @@ Rules come first: a rule fits its host and all subdomains if the path starts wit
 longest (host and path together) wins, on a tie the greater text. URLs that no rule fits are judged by
 multinomial naive Bayes, trained on the URLs that rules fit. Its tokens are the path's alphanumeric
 words and the host's words; a host label is split into words by the Viterbi path of a unigram model,
-whose word counts come from all pages' text. The dictionary is not limited: labels' substrings meet it
+whose word counts come from all pages' text; a run of digits is a label of its own. The dictionary is not limited: labels' substrings meet it
 in a join, and only a label's own substrings are gathered to segment it.
 
 Nulls: a null URL, or one without ``://``, has empty host and path; no rule fits those, and they are
@@ -102,7 +102,7 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
 
 def tokens(urls: DataFrame, counts: DataFrame) -> DataFrame:
     """host, path, token (a row for each occurrence) of the distinct urls; host words are marked by a leading dot."""
-    hosts = materialise(urls.select("host").distinct().select("host", F.posexplode(F.split("host", r"[^\p{L}]+")).alias("at", "label")).where("label <> ''"), "labels")
+    hosts = materialise(urls.select("host").distinct().select("host", F.posexplode(F.regexp_extract_all("host", F.lit(r"\p{L}+|\p{N}+"), F.lit(0))).alias("at", "label")), "labels")
     split = segment(hosts.select("label").distinct(), counts)
     of_host = hosts.join(split, "label").select("host", F.explode("words").alias("word"))
     of_host = urls.join(of_host, "host").select("host", "path", F.concat(F.lit("."), "word").alias("token"))
