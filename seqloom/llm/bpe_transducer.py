@@ -20,6 +20,7 @@ column of the result's name.
 from __future__ import annotations
 
 import base64
+import contextlib
 import gc
 import hashlib
 from array import array
@@ -32,10 +33,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.text import pieces
+from seqloom.llm.text import give_back, pieces
 
 MAX_STATES, WANTED = 250_000, 100
-#: Pre-tokens whose ids are kept until all are forgotten, which is also done at the end of a task.
+#: Pre-tokens whose ids are kept until all are forgotten.
 MAX_WORDS = 600_000
 RUN = 1 << 16
 
@@ -100,7 +101,7 @@ class Transducer:
         pair = before << 32 | token
         known = self.follows.get(pair)
         if known is None:
-            if len(self.follows) > 2 * MAX_STATES:
+            if len(self.follows) > MAX_STATES:
                 self.follows.clear()
             left, right = self._edge(self.bytes_of[before], 1), self._edge(self.bytes_of[token], 0)
             i = j = 0
@@ -374,13 +375,25 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One codec a worker process; its states and words serve all of the worker's tasks."""
+    """One codec for each task of a worker process."""
     if (path, pattern) not in _codecs:
-        gc.set_threshold(100_000, 50, 50)  # states are many and live long; each full collection would visit all
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
 
 
+@contextlib.contextmanager
+def _task(path: str, pattern: str) -> Iterator[Codec]:
+    """A codec until the end of a task; the worker may go on with other stages, and loading takes a tenth of a second."""
+    before = gc.get_threshold()
+    gc.set_threshold(100_000, 50, 50)  # states are many and live long; each full collection would visit all
+    try:
+        yield codec(path, pattern)
+    finally:
+        _codecs.clear()
+        gc.set_threshold(*before)
+        give_back()
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Add the ids of each text as an array; null text gives an empty array."""
 
@@ -408,14 +421,13 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in pieces(batches, "text"):
-            n, written, decoded = zip(*own.digests(t or "" for t in batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(written, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-        own.recent.forget()  # the worker may go on with other stages
+        with _task(path, pattern) as own:
+            for batch in pieces(batches, "text"):
+                n, written, decoded = zip(*own.digests(t or "" for t in batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(written, pa.string()), pa.array(decoded, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,13 +7,15 @@ per byte, finished by a mixer; two given strings share a hash with a chance of a
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once, so that memory does not follow the size of an Arrow batch.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240607)
 _BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,6 +148,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             high = min(max(high, low + 1), rows)
             yield batch.slice(low, high - low)
             low = high
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that a task has left behind to the system; Python workers live on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+    if trim:
+        trim(0)
 
 
 def as_long(x: np.ndarray) -> pa.Array:
