@@ -1,12 +1,14 @@
 """Each operator against brute force on the table of cases, and on an empty table."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from seqloom.llm import (
     suffix_tree,
     url_bayes,
 )
-from seqloom.llm.scratch import new_path
+from seqloom.llm.scratch import materialise, new_path
 from tests.llm.cases import SCHEMA, documents, empty, frame
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -221,8 +223,66 @@ def test_op5(spark):
     assert url_bayes.viterbi("spamfarm", [(0, 4, 500), (4, 8, 400)], 1000) == ["spam", "farm"]
 
 
+def cheapest_split(label, counts):
+    """The words of a label with the least cost in all, by trying every split."""
+    total = sum(counts.values())
+
+    @functools.cache
+    def best(at):
+        if at == len(label):
+            return 0.0, ()
+        tried = []
+        for end in range(at + 1, min(at + url_bayes.LONGEST, len(label)) + 1):
+            word = label[at:end]
+            own = -math.log(counts[word] / total) if counts.get(word) and len(word) > 1 else math.log(max(total, 2)) + len(word) * math.log(10)
+            cost, rest = best(end)
+            tried.append((own + cost, (word, *rest)))
+        return min(tried, key=lambda t: t[0])
+
+    return best(0)[1]
+
+
+def test_op5_brute_force(spark):
+    """Odds and verdicts against counts in dictionaries and a search over all splits."""
+    import random
+
+    rng = random.Random(5)
+    words = ["news", "shop", "spam", "cash", "house", "stone", "river", "win", "fast", "blog"]
+    texts = [f"<p class='x'>{' '.join(rng.choices(words, k=rng.randint(5, 40)))}</p>" for _ in range(30)]
+    urls = []
+    for i in range(80):
+        side = rng.random() < 0.5
+        host = "".join(rng.choices(words[2:4] + words[7:9] if side else words[4:7] + words[9:], k=rng.randint(1, 4)))
+        host += rng.choice(["", "24", "-x7"]) + rng.choice([".com", ".net", ".org", ".example.org"])
+        path = rng.choice(["/de/", "/fr/", "/es/", "/en/1", "/en/2", "/"]) + "/".join(rng.choices(words, k=rng.randint(0, 3)))
+        urls.append(f"http://{host}{path}" + rng.choice(["", "?q=1", "#top"]))
+    urls += urls[:10] + [None, "none"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(url_bayes.RULES, "verdict string, host string, path string")
+    got = {r["page_id"]: r for r in url_bayes.judge(pages, rules, spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+
+    counts = collections.Counter(w for t in texts for w in re.findall("[a-z]{2,}", re.sub("<[^>]*>", " ", t)))
+    seen, ruled = [], []
+    for u in urls:
+        m = re.match(r".*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1], m[2]) if m else ("", "")
+        tokens = ["." + w for label in re.findall("[a-z]+|[0-9]+", host) for w in cheapest_split(label, counts)]
+        seen.append(tokens + re.findall("[a-z0-9]+", path.lower()))
+        fits = [(len(h + p), v) for v, h, p in url_bayes.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        ruled.append(max(fits)[1] if fits else None)
+    tables = {v: collections.Counter(t for tokens, r in zip(seen, ruled, strict=True) if r == v for t in tokens) for v in ("allow", "block")}
+    known = set(tables["allow"]) | set(tables["block"])
+    chance = lambda t, v: math.log((tables[v][t] + 1) / (sum(tables[v].values()) + len(known) + 1))
+    assert {"allow", "block", None} <= set(ruled)
+    for i, (tokens, r) in enumerate(zip(seen, ruled, strict=True)):
+        odds = math.log(ruled.count("block") / ruled.count("allow")) + sum(chance(t, "block") - chance(t, "allow") for t in tokens if t in known)
+        assert got[i]["odds"] == pytest.approx(odds, abs=1e-9)
+        assert got[i]["verdict"] == (r or ("block" if odds > 0 else "allow"))
+
+
 def test_op6(spark):
-    kinds = (randomness.ASSIGN, r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    kinds = (assign, r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
     lengths = (lambda m: len(m[2]) >= 12, lambda m: len(m[0]) >= 18, lambda m: len(m[0]) >= 16)
     got = by_id(randomness.digests(frame(spark)))
     for d in documents():
@@ -374,6 +434,71 @@ def test_op8_many_bad(spark, bad):
     assert {r["doc_id"] for r in got if not r["kept"]} == spoilt
 
 
+def least_determinant(x, coverage):
+    """The estimate of one group's statistics, step by step in memory."""
+    p = x.shape[1]
+    floors = np.array(list(robust_outliers.FEATURES.values()))
+    at = lambda v, q: np.sort(v)[max(math.ceil(q * len(v)), 1) - 1]
+    q = np.array([[at(x[:, i], k / 20) for k in range(21)] for i in range(p)])
+    width = q[:, 10:] - q[:, :11]
+    low, short = q[np.arange(p), width.argmin(1)], width.min(1)
+    starts = [(c, np.diag(np.maximum(s / 1.349, floors) ** -2.0)) for c, s in ((q[:, 10], q[:, 15] - q[:, 5]), (low + short / 2, short))]
+
+    def estimate(part):
+        cov = part.T @ part / len(part) - np.outer(part.mean(0), part.mean(0)) + np.diag(floors**2)
+        return part.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+    def distance(center, inverse):
+        return np.einsum("ni,ij,nj->n", x - center, inverse, x - center)
+
+    root = np.sqrt(np.diag(starts[0][1]))
+    starts.append(estimate(starts[0][0] + np.tanh((x - starts[0][0]) * root) / root)[:2])
+    ends = []
+    for center, inverse in starts:
+        best = (center, inverse, math.inf)
+        while True:
+            d = distance(*best[:2])
+            new = estimate(x[d <= at(d, coverage)])
+            fell = best[2] - new[2]
+            best = best if best[2] < new[2] else new
+            if not fell > robust_outliers.SETTLED:
+                break
+        ends.append(best)
+    center, inverse, _ = min(ends, key=lambda e: e[2])
+    scale = lambda d: max(at(d, 0.5) / robust_outliers._chi_square(p, 0.5), 1e-9)
+    d = distance(center, inverse)
+    center, inverse, _ = estimate(x[d <= scale(d) * robust_outliers._chi_square(p, robust_outliers.GOOD)])
+    return center, inverse, scale(distance(center, inverse))
+
+
+def test_op8_brute_force(spark):
+    """Distances and verdicts against the same estimate in memory: a source of its own, a language, and all texts."""
+    import random
+
+    rng = random.Random(9)
+    words = [f"word{chr(97 + i % 26)}{i}" for i in range(2000)]
+    rows = []
+    for i in range(330):
+        lang, source = ("en", "s") if i < 160 else ("en", f"t{i % 5}") if i < 290 else ("de", "s")
+        w = rng.choices(words, k=rng.randint(60, 200))
+        if i % 9 == 0:
+            w = [x + rng.choice(["#", "$$", "%"]) for x in w]
+        rows.append((i, " ".join(w), lang, source))
+    described = robust_outliers.counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id", "lang", "source")
+    model = robust_outliers.fit(described)
+    got = {r["doc_id"]: r for r in robust_outliers.judge(described, materialise(model, "mcd")).collect()}
+    x = {i: np.array(r["x"]) for i, r in got.items() if not r["base_failed"]}
+    assert len(x) > 300
+    groups = {"source": [i for i in x if i < 160], "lang": [i for i in x if i < 290], "all": list(x)}
+    models = {k: least_determinant(np.array([x[i] for i in ids]), robust_outliers.COVERAGE) for k, ids in groups.items()}
+    bound = robust_outliers.HEAVY * robust_outliers._chi_square(len(robust_outliers.FEATURES), 1 - robust_outliers.TAIL)
+    for i, v in x.items():
+        center, inverse, scale = models["source" if i < 160 else "lang" if i < 290 else "all"]
+        d = (v - center) @ inverse @ (v - center) / scale
+        assert got[i]["distance"] == pytest.approx(d, rel=1e-6), i
+        assert got[i]["kept"] == (d <= bound)
+
+
 def test_op9(spark):
     import base64
 
