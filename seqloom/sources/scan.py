@@ -2,13 +2,17 @@
 
 Two physical forms give the same rows:
 
-* whole files: one task reads a file's bytes and parses them. For BAM, .xz and .zst files, compressed
-  files that their names don't tell, and files of at most WHOLE_BYTES. A file must fit in a task (and in
+* whole files: one task reads a file's bytes and parses them. For .xz and .zst files, compressed files
+  that their names don't tell, BAM files that are not blocked, and files of at most WHOLE_BYTES. A file must fit in a task (and in
   2 GB, Spark's limit for one value).
 * split files: Spark's text reader splits a large FASTQ or FASTA file (plain or .bz2) at any byte,
   keeping lines whole, and streams a .gz file through one task. A first pass counts each split's lines (or records); running sums give each split its first
   ordinal. A second pass parses. FASTQ records that cross splits are put together from the first and
-  last three lines of the splits, which the first pass has kept aside.
+  last three lines of the splits, which the first pass has kept aside. A large BAM file is split in the
+  same way at the marks of its compressed blocks. Where a split's first record begins is guessed from the
+  form of records; the bytes between the last whole record of a split and the first of the next must then
+  be whole records too, which proves the guess from the file's first record on. A file in which they are
+  not is read whole.
 
 Only Spark's readers touch the files, so any store that Spark can read will do. The numbers that go to
 the tasks are 16 bytes for each split.
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.errors import UnknownFileFormat
-from seqloom.sources import parsers
+from seqloom.sources import bgzf, parsers
 from seqloom.plans.workspace import new_path
 from seqloom.sources.detect import COMPRESSED, by_content, by_name, in_order, order_columns
 from seqloom.sources.stores import first_bytes
@@ -38,6 +42,8 @@ FORMATS = ("fasta", "fastq", "bam", "bam_no_header")
 WHOLE_BYTES = 32 << 20
 #: Endings that Spark's text reader decompresses, and bytes read to tell a format (a block of bzip2 at least).
 STREAMED, HEAD_BYTES = (".gz", ".bz2"), 1 << 20
+#: Least bytes in which a split's first BAM record is looked for, and those after which the search is given up.
+GUESS_BYTES, LOST_BYTES = 1 << 18, 1 << 26
 _ROWS = 1 << 14
 
 
@@ -302,6 +308,152 @@ def split_fasta(spark: SparkSession, files: list[str], keep_linebreaks: bool = F
     return chunks.mapInArrow(run, SCHEMA)
 
 
+def _inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes, bool]]:
+    """The blocks of splits of BAM files: file, its split's start, data, whether the split begins here."""
+    held, fresh = b"", False
+    for file, start, rows, begins in _blocks(batches):
+        if begins and held:
+            break
+        fresh |= begins
+        for i, value in enumerate(rows.column(2)):
+            if begins and i == 0 and start == 0:
+                continue  # what comes before the file's first mark
+            piece = held + value.as_buffer().to_pybytes()
+            data = bgzf.inflate(piece)
+            held = piece + bgzf.MARK if data is None else b""
+            if data is not None:
+                yield file, start, data, fresh
+                fresh = False
+    if held:
+        raise EOFError("a compressed block is not complete")
+
+
+class _BamSplit:
+    """What the first pass learns of a split: whole records, and the bytes before and after them."""
+
+    def __init__(self, file: str, start: int, has_header: bool) -> None:
+        self.file, self.start, self.n, self.head = file, start, 0, None
+        self.rest, self.again = bytearray(), 0
+        self.header = has_header and start == 0
+        self.lost = False
+
+    def add(self, data: bytes, at_end: bool = False) -> None:
+        if self.lost:
+            return
+        self.rest += data
+        if self.head is None and (at_end or len(self.rest) >= self.again):
+            self.again = max(2 * len(self.rest), GUESS_BYTES)  # a few tries, each on twice the bytes
+            begin = self._begin()
+            if begin is not None:
+                self.head, self.skip = b"" if self.header else bytes(self.rest[:begin]), begin
+                del self.rest[:begin]
+            elif len(self.rest) > LOST_BYTES:
+                self.lost, self.rest = True, bytearray()
+        if self.head is not None:
+            more, end = bgzf.whole_records(self.rest)
+            self.n += more
+            del self.rest[:end]
+
+    def _begin(self) -> int | None:
+        if self.start == 0 and not self.header:
+            return 0
+        if not self.header:
+            return bgzf.first_record(bytes(self.rest))
+        try:
+            return parsers.bam_header(bytes(self.rest))[1]
+        except EOFError:
+            return None
+
+    def row(self) -> pa.RecordBatch:
+        self.add(b"", True)
+        found = self.head is not None
+        values = [self.file, self.start, -1 if self.lost else self.n, found, self.skip if found else -1, self.head if found else bytes(self.rest), bytes(self.rest) if found else b""]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["file", "start", "n", "found", "skip", "head", "tail"])
+
+
+def split_bam(spark: SparkSession, files: dict[str, bool]) -> tuple[DataFrame | None, list[str]]:
+    """Records of large blocked BAM files (path: whether it has a header), and the files that can't be split."""
+    blocks = _text(spark, list(files), bgzf.MARK.decode())
+    headers = dict(files)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = None
+        for file, start, data, begins in _inflated(batches):
+            if begins:
+                if split is not None:
+                    yield split.row()
+                split = _BamSplit(file, start, headers[file])
+            split.add(data)
+        if split is not None:
+            yield split.row()
+
+    aside = new_path(spark, "splits")
+    blocks.mapInArrow(count, "file string, start long, n long, found boolean, skip long, head binary, tail binary").write.parquet(aside)
+    # run k of a file lies after its k-th split in which a record begins
+    upto = F.sum(F.col("found").cast("long")).over(Window.partitionBy("file").orderBy("start"))
+    counted = spark.read.parquet(aside).withColumn("upto", upto)
+    ends = counted.select("file", "start", F.when(F.col("found"), F.col("upto") - 1).otherwise(F.col("upto")).alias("run"), F.col("head").alias("data"))
+    ends = ends.unionByName(counted.where("found").select("file", "start", F.col("upto").alias("run"), F.col("tail").alias("data"))).where(F.length("data") > 0)
+    runs = ends.groupBy("file", "run").agg(F.array_sort(F.collect_list(F.struct("start", "data"))).alias("parts"))
+    runs = runs.select("file", "run", F.col("parts.data").alias("parts"))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for parts in batch.column(2).to_pylist():
+                data = b"".join(parts)
+                n, end = bgzf.whole_records(data)
+                sizes.append(n if end == len(data) else -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64())], ["file", "run", "n"])
+
+    between = {(r["file"], r["run"]): r["n"] for r in runs.mapInArrow(tally, "file string, run long, n long").collect()}
+    splits = sorted(counted.select("file", "start", "n", "found", "skip", "upto").collect(), key=lambda r: (r["file"], r["start"]))
+    bad = {f for (f, run), n in between.items() if n < 0 or run == 0} | {r["file"] for r in splits if r["n"] < 0}
+    bad |= set(files) - {r["file"] for r in splits if r["upto"]}
+    good = [f for f in files if f not in bad]
+    if not good:
+        return None, sorted(bad)
+    first, skip, after, at = [], [], [], {}
+    for r in splits:
+        file = r["file"]
+        if file in bad:
+            continue
+        skip.append((file, r["start"], r["skip"]))
+        low = at.get(file, 0)
+        first.append((file, r["start"], low))
+        if r["found"]:
+            after.append((file, r["upto"], low + r["n"]))
+            at[file] = low + r["n"] + between.get((file, r["upto"]), 0)
+    firsts, skips, afters = _Firsts(first), _Firsts(skip), _Firsts(after)
+
+    def records(file: str, data: bytes, low: int) -> Iterator[pa.RecordBatch]:
+        for batch in parse_file(file, data, "bam_no_header"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(1).to_numpy() + low), *batch.columns[2:]], FIELDS)
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bytearray()
+        for file, start, data, begins in _inflated(batches):
+            if begins:
+                held, low, left = bytearray(), firsts[file, start], skips[file, start]
+            if left < 0:
+                continue  # no record begins in this split
+            held += data[left:]
+            left = max(left - len(data), 0)
+            n, end = bgzf.whole_records(held)
+            yield from records(file, bytes(held[:end]), low)
+            low += n
+            del held[:end]
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, run, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from records(file, b"".join(parts), afters[file, run])
+
+    chosen = _text(spark, good, bgzf.MARK.decode())
+    return chosen.mapInArrow(inner, SCHEMA).unionByName(runs.where(F.col("file").isin(good)).mapInArrow(across, SCHEMA)), sorted(bad)
+
+
 def _given(spark: SparkSession, sources: list, fileformat: str | None, opener: Callable[[str, str], BinaryIO] | None, keep_linebreaks: bool) -> DataFrame:
     """Records of open binary files, of ``-`` (standard input), and of paths that an opener opens in a task."""
     rows = []
@@ -348,8 +500,15 @@ def scan(
     kinds = {path: resolve_format(spark, path, length, fileformat) for path, length in files if length or by_name(path) or fileformat}
     packed = {p for p in kinds if p.lower().endswith(COMPRESSED)}
     packed |= {p for p, n in files if p in kinds and n > whole_bytes and p not in packed and parsers.is_compressed(first_bytes(spark, p, 8))}
-    whole = [p for p, n in files if p in kinds and (n <= whole_bytes or kinds[p].startswith("bam") or p in packed and not p.lower().endswith(STREAMED))]
+    large_bam = [p for p, n in files if p in kinds and n > whole_bytes and kinds[p].startswith("bam")]
+    blocked = {p: kinds[p] == "bam" for p in large_bam if bgzf.is_blocked(first_bytes(spark, p, bgzf.FRAME))}
     parts = []
+    if blocked:
+        found, unsplit = split_bam(spark, blocked)
+        blocked = blocked.keys() - set(unsplit)
+        parts += [found] if blocked else []
+    alone = {p for p, n in files if n <= whole_bytes} | set(large_bam) - set(blocked) | {p for p in packed if not p.lower().endswith(STREAMED)}
+    whole = [p for p in kinds if p in alone and p not in blocked]
     if whole:
         parts.append(whole_files(spark.read.format("binaryFile").load(whole), {p: kinds[p] for p in whole}, keep_linebreaks))
     for kind, read in (("fastq", split_fastq), ("fasta", lambda s, f: split_fasta(s, f, keep_linebreaks))):
