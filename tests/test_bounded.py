@@ -1,8 +1,10 @@
 """What grows with the data: bytes moved by pairs and numbering, bytes of the driver and of a task."""
 
+import lzma
+
 import pytest
 
-from seqloom.errors import FileFormatError
+from seqloom.errors import FastqFormatError, FileFormatError
 from seqloom.operators import pairing
 from seqloom.sources import facade, scan, sinks
 from tests.test_files import frame, rows, some
@@ -69,3 +71,35 @@ def test_ordinals_over_files_move_no_record(spark, tmp_path):
         found = scan.scan(spark, str(tmp_path), ordinals="all", whole_bytes=whole)
         assert rows(found) == data
         assert "BroadcastHashJoin" in plan(found)
+
+
+def test_large_xz_and_zst_are_streamed(spark, tmp_path, monkeypatch):
+    data = some(400)
+    text = "".join(f"@{n}\n{s}\n+\n{q}\n" for _, n, s, q in data).encode()
+    read = []
+    monkeypatch.setattr(scan, "whole_files", lambda *a, f=scan.whole_files, **k: read.append(1) or f(*a, **k))
+    for ending in (".xz", ".zst"):
+        path = f"{tmp_path}/x.fastq{ending}"
+        sinks.write_file(frame(spark, data), path)
+        assert rows(scan.scan(spark, path, whole_bytes=0)) == data
+    (tmp_path / "y.fastq.xz").write_bytes(lzma.compress(text[:5000]) + lzma.compress(text[5000:]))
+    both = scan.scan(spark, f"{tmp_path}/x.fastq.xz", f"{tmp_path}/y.fastq.xz", whole_bytes=0, ordinals="all")
+    assert rows(both) == data + [(i + 400, *r) for i, *r in data]
+    assert not read
+    (tmp_path / "y.fastq.xz").write_bytes(lzma.compress(text)[:-20])
+    with pytest.raises(Exception, match="end mark"):
+        scan.scan(spark, f"{tmp_path}/y.fastq.xz", whole_bytes=0).collect()
+
+
+def test_whole_files_are_parsed_in_steps(monkeypatch):
+    from seqloom.sources import parsers
+
+    monkeypatch.setattr(parsers, "STEP", 1000)
+    record = b"@r\nACGT\n+\nIIII\n"
+    sizes = [b.num_rows for b in scan.parse_file("x", lzma.compress(record * 1000), "fastq")]
+    assert sum(sizes) == 1000 and max(sizes) < 200
+    found = [i for b in scan.parse_file("x", record * 1000, "fastq") for i in b.column(1).to_pylist()]
+    assert found == list(range(1000))
+    with pytest.raises(FastqFormatError) as e:
+        list(scan.parse_file("x", record * 999 + b"@r\nA\n", "fastq"))
+    assert e.value.line == 999 * 4 + 2
