@@ -8,8 +8,10 @@ import lzma
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.errors import UnknownFileFormat
@@ -20,6 +22,8 @@ from seqloom.sources.stores import file_system
 
 #: Least rows for a part file, where there are so many.
 LEAST_ROWS = 16
+#: Bytes of text for a member of a compressed file.
+PIECE = 4 << 20
 COMPRESSIONS = {".gz": "gzip", ".bz2": "bzip2", ".xz": "xz", ".zst": "zstd"}
 
 
@@ -137,36 +141,71 @@ def _compressor(codec: str | None, level: int) -> Callable[[bytes], bytes]:
 def write_file(records: DataFrame, path: str, fileformat: str | None = None, *, two_headers: bool = False, line_length: int | None = None, mode: str = "w", compression_level: int = 1) -> None:
     """Write one file, plain or compressed by its ending (.gz .bz2 .xz .zst).
 
-    Tasks format and compress; the driver joins their members, one partition at a time. For outputs
-    that one file should hold; write() is the parallel sink.
+    Tasks format and compress parts, in a folder beside the file; the driver's JVM then copies one after
+    another to the file's end, as no store writes a file from several places. No record is sent to the
+    driver, which holds a copy's buffer at most. write() is the parallel sink.
     """
     kind = output_format(path, fileformat, True if fileformat is None else None, mode)
-    compress = _compressor(next((c for e, c in COMPRESSIONS.items() if path.lower().endswith(e)), None), compression_level)
+    codec = next((c for e, c in COMPRESSIONS.items() if path.lower().endswith(e)), None)
+    text = _ordered(records, False).select(record_text(kind, two_headers, line_length))
+    framed = codec not in (None, "gzip")  # Spark's writer has no such codec, or not all of its levels
+    spark, compress = records.sparkSession, _compressor(codec, compression_level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                text = "".join(x + "\n" for x in batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([compress(text.encode("ascii"))], pa.binary())], ["member"])
+            for lines in _pieces(batch.column(0)):
+                member = compress(b"".join(x for line in lines for x in (line.as_buffer(), b"\n")))
+                yield pa.RecordBatch.from_arrays([pa.array([len(member).to_bytes(8, "big") + member], pa.binary())], ["member"])
 
-    rows = _ordered(records, False).select(record_text(kind, two_headers, line_length)).mapInArrow(run, "member binary")
-    fs, target = file_system(records.sparkSession, path)
     # a failed job leaves the file as it was
-    beside = file_system(records.sparkSession, path + ".unfinished")[1]
-    stream = fs.create(beside, True)
+    fs, target = file_system(spark, path)
+    beside, parts = (file_system(spark, path + end)[1] for end in (".unfinished", ".parts"))
     try:
-        if mode == "a" and fs.exists(target):
-            before = fs.open(target)
-            before.transferTo(stream)
-            before.close()
-        for row in rows.toLocalIterator():
-            stream.write(bytearray(row["member"]))
+        rows = text.mapInArrow(run, "member binary").select(F.col("member").cast("string")) if framed else text
+        writer = rows.write.mode("overwrite").option("compression", "none" if framed else codec or "none")
+        if codec == "gzip":
+            writer = writer.option("zlib.compress.level", _LEVELS[compression_level])
+        writer.text(path + ".parts")
+        found = sorted(((s.getPath(), s.getLen()) for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-")), key=lambda p: p[0].getName())
+        stream = fs.create(beside, True)
+        try:
+            if mode == "a" and fs.exists(target):
+                before = fs.open(target)
+                before.transferTo(stream)
+                before.close()
+            for part, length in found:
+                _copy(spark, fs.open(part), stream, length if framed else None)
+                fs.delete(part, False)
+        finally:
+            stream.close()
     finally:
-        stream.close()
+        fs.delete(parts, True)
     fs.delete(target, False)
     fs.rename(beside, target)
 
 
+def _pieces(lines: pa.Array) -> Iterator[pa.Array]:
+    """Runs of lines of PIECE bytes, or of one line."""
+    ends = np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(lines):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PIECE, "right")))
+        yield lines.slice(low, high - low)
+        low = high
+
+
+def _copy(spark: SparkSession, part, stream, framed: int | None) -> None:  # noqa: ANN001
+    """Copy a part file in the JVM; framed: its length, if it has members after their lengths (8 bytes) and before newlines."""
+    try:
+        if framed is None:
+            part.transferTo(stream)
+        while framed is not None and part.getPos() < framed:
+            spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge(part, stream, 0, part.readLong())
+            part.readByte()
+    finally:
+        part.close()
+
+
 def write_pairs(pairs: DataFrame, path1: str, path2: str, fileformat: str | None = None, **options) -> None:  # noqa: ANN003
     """r1 of each pair to one output and r2 to another. Mates are not checked."""
     if str(path1) == str(path2):

@@ -3,6 +3,7 @@
 import lzma
 
 import pytest
+from pyspark.sql import DataFrame
 
 from seqloom.errors import FastqFormatError, FileFormatError
 from seqloom.operators import pairing
@@ -103,3 +104,15 @@ def test_whole_files_are_parsed_in_steps(monkeypatch):
     with pytest.raises(FastqFormatError) as e:
         list(scan.parse_file("x", record * 999 + b"@r\nA\n", "fastq"))
     assert e.value.line == 999 * 4 + 2
+
+
+def test_one_file_without_the_driver(spark, tmp_path, monkeypatch):
+    data = some(300)
+    monkeypatch.setattr(sinks, "PIECE", 2000)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    for ending in ("", ".gz", ".bz2", ".xz", ".zst"):
+        path = tmp_path / f"x.fastq{ending}"
+        for mode in ("w", "a"):
+            sinks.write_file(frame(spark, data), str(path), mode=mode)
+        assert rows(scan.scan(spark, str(path))) == data + [(i + 300, *r) for i, *r in data]
+    assert not [f for f in tmp_path.iterdir() if f.name.endswith((".parts", ".unfinished"))]
