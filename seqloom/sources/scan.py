@@ -20,12 +20,10 @@ the tasks are 16 bytes for each split.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from itertools import chain
 from typing import BinaryIO
-from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -330,44 +328,39 @@ def split_fasta(spark: SparkSession, files: list[str], keep_linebreaks: bool = F
     return chunks.mapInArrow(run, SCHEMA), _by_file(counted)
 
 
-def stream_packed(spark: SparkSession, files: list[str], kinds: dict[str, str], keep_linebreaks: bool = False) -> DataFrame:
-    """Records of large .xz or .zst files (all of one ending), each streamed through one task.
+def stream_packed(spark: SparkSession, path: str, kind: str, keep_linebreaks: bool = False) -> DataFrame:
+    """Records of a large .xz or .zst file, streamed through one task.
 
-    The text reader gives the compressed bytes as they are, cut at newlines: by Hadoop's codec that does
-    nothing, which also keeps it from splitting the files. At most a few MB of a file are held.
+    The text reader gives the compressed bytes as they are, cut at newlines, or the text where Hadoop has
+    a codec for the ending (.zst). One task reads its splits in their order. At most a few MB are held.
     """
-    ending = next(e for e in COMPRESSED if files[0].lower().endswith(e))
-    rows = spark.read.option("lineSep", "\n").option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec").option("io.compress.passthrough.extension", files[0][-len(ending) :]).text(files)
+    rows = spark.read.option("lineSep", "\n").text(path)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, ahead = _blocks(batches), []
-
-        def pieces(file: str) -> Iterator[bytes]:
-            """The bytes of one file; the reader drops each newline, whether or not there is one at the end."""
-            given = 0
-            while ahead and ahead[0][0] == file:
-                rows = ahead.pop()[1]
-                size = rows.column(2)[0].as_py()
-                data = b"\n".join(rows.column(3).to_pylist()) + b"\n"
+        name = ""
+
+        def pieces() -> Iterator[bytes]:
+            """The file's bytes; the reader drops each newline, whether or not there is one at the end."""
+            given, at, size, packed = 0, 0, 0, None
+            for _, start, part, _ in chain([first], blocks):
+                if start < at:
+                    raise RuntimeError(f"the parts of {name} do not come in their order")
+                at, size = start, part.column(2)[0].as_py()
+                data = b"\n".join(part.column(3).to_pylist()) + b"\n"
                 given += len(data)
-                yield data[:-1] if given > size else data
-                ahead.extend((f, r) for f, _, r, _ in islice(blocks, 1))
+                packed = parsers.is_compressed(data) if packed is None else packed
+                yield data[:-1] if packed and given > size else data
+            if packed and given not in (size, size + 1):
+                raise RuntimeError(f"{given} of {size} bytes of {name} were read")
 
-        ahead.extend((f, r) for f, _, r, _ in islice(blocks, 1))
-        while ahead:
-            file = ahead[0][0]
-            yield from parse_pieces(file, pieces(file), kinds[_bare(file)], keep_linebreaks)
-            if ahead and ahead[0][0] == file:  # bytes after the last stream
-                for _ in pieces(file):
-                    pass
+        blocks = _blocks(batches)
+        first = next(blocks, None)
+        if first is not None:
+            name = first[0]
+            yield from parse_pieces(name, pieces(), kind, keep_linebreaks)
 
-    return rows.mapInArrow(run, SCHEMA)
-
-
-def _bare(path: str) -> str:
-    """A path as the key of a table: Spark's readers write its scheme in two ways."""
-    return re.sub("^file:/+", "/", unquote(path))
+    return rows.coalesce(1).mapInArrow(run, SCHEMA)
 
 
 def _inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes, bool]]:
@@ -570,10 +563,9 @@ def scan(
         blocked = blocked.keys() - set(unsplit)
         parts += [found] if blocked else []
         sizes |= numbers
-    streamed = {p for p, n in files if p in kinds and n > whole_bytes and p.lower().endswith(COMPRESSED) and not p.lower().endswith(STREAMED) and p not in blocked}
-    for ending in sorted({p.rsplit(".", 1)[1] for p in streamed}):
-        some = sorted(p for p in streamed if p.endswith(f".{ending}"))
-        found = stream_packed(spark, some, {_bare(p): kinds[p] for p in some}, keep_linebreaks)
+    streamed = {p for p, n in files if p in kinds and n > whole_bytes and p.lower().endswith(COMPRESSED) and not p.lower().endswith(STREAMED) and kinds[p] in ("fastq", "fasta")}
+    for p in sorted(streamed):
+        found = stream_packed(spark, p, kinds[p], keep_linebreaks)
         parts.append(found)
         if many:
             sizes |= _by_file(found.groupBy("file").agg(F.count("*").alias("n")))

@@ -79,10 +79,14 @@ def test_large_xz_and_zst_are_streamed(spark, tmp_path, monkeypatch):
     text = "".join(f"@{n}\n{s}\n+\n{q}\n" for _, n, s, q in data).encode()
     read = []
     monkeypatch.setattr(scan, "whole_files", lambda *a, f=scan.whole_files, **k: read.append(1) or f(*a, **k))
+    monkeypatch.setattr(sinks, "PIECE", 5000)  # several streams or frames
     for ending in (".xz", ".zst"):
         path = f"{tmp_path}/x.fastq{ending}"
         sinks.write_file(frame(spark, data), path)
-        assert rows(scan.scan(spark, path, whole_bytes=0)) == data
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        for size in ("500", old):  # several splits of several batches, and one
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert rows(scan.scan(spark, path, whole_bytes=0)) == data
     (tmp_path / "y.fastq.xz").write_bytes(lzma.compress(text[:5000]) + lzma.compress(text[5000:]))
     both = scan.scan(spark, f"{tmp_path}/x.fastq.xz", f"{tmp_path}/y.fastq.xz", whole_bytes=0, ordinals="all")
     assert rows(both) == data + [(i + 400, *r) for i, *r in data]
