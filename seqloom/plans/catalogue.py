@@ -19,7 +19,7 @@ from seqloom.plans.reads_view import READS_SQL, reads
 from seqloom.plans.workspace import new_path
 from seqloom.sources import facade, sinks
 from seqloom.sources.detect import name_format
-from seqloom.sources.scan import scan, whole_files
+from seqloom.sources.scan import SCHEMA, scan, whole_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -354,17 +354,13 @@ def roundtrip_ubam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, *fields = (c.to_pylist() for c in batch.columns)
-            for low in range(0, len(ids), 500):
-                rows = list(zip(*(f[low : low + 500] for f in fields), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, ids[low : low + 500]))]), pa.array([bam_bytes(rows)], pa.binary())], ["path", "content"])
+            for low in range(0, batch.num_rows, 500):
+                ids, *fields = (c.to_pylist() for c in batch.slice(low, 500).columns)
+                rows = list(zip(*fields, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, ids))]), pa.array([bam_bytes(rows)], pa.binary())], ["path", "content"])
 
-    files = _dense(spark, sf_dir).mapInArrow(pack, "path string, content binary")
-
-    def kinds_of(files: DataFrame) -> DataFrame:
-        return whole_files(files, _AnyBam())
-
-    found = kinds_of(files)
+    # in one stage: a batch of files between two would hold all files of a task
+    found = _dense(spark, sf_dir).mapInArrow(lambda batches: whole_batches(pack(batches), _AnyBam()), SCHEMA)
     number = F.split("file", ",")[F.col("rec_idx").cast("int")].cast("long")
     return found.select(number.alias("rec_idx"), "name", "sequence", F.nullif("qualities", F.lit("")).alias("qualities"))
 

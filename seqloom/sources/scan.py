@@ -115,19 +115,20 @@ def parse_file(path: str, content: bytes, kind: str, keep_linebreaks: bool = Fal
         yield from parse_pieces(path, parsers.cut(content), kind)
 
 
-def whole_files(files: DataFrame, kinds: dict[str, str], keep_linebreaks: bool = False, detect: bool = False) -> DataFrame:
-    """Records of a frame of (path, content), batch or streaming. kinds: format by path; detect: else by name or content."""
+def whole_batches(batches: Iterator[pa.RecordBatch], kinds: dict[str, str], keep_linebreaks: bool = False, detect: bool = False) -> Iterator[pa.RecordBatch]:
+    """Records of batches of (path, content), a file at a time."""
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = content.as_buffer()
+            kind = kinds.get(path) or (detect and (by_name(path) or by_content(parsers.decompress_start(memoryview(data)[:HEAD_BYTES].tobytes())[:4])))
+            if not kind:
+                raise UnknownFileFormat(f"neither name nor content tells the format of {path}")
+            yield from parse_file(path, data, kind, keep_linebreaks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_buffer()
-                kind = kinds.get(path) or (detect and (by_name(path) or by_content(parsers.decompress_start(memoryview(data)[:HEAD_BYTES].tobytes())[:4])))
-                if not kind:
-                    raise UnknownFileFormat(f"neither name nor content tells the format of {path}")
-                yield from parse_file(path, data, kind, keep_linebreaks)
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+def whole_files(files: DataFrame, kinds: dict[str, str], keep_linebreaks: bool = False, detect: bool = False) -> DataFrame:
+    """Records of a frame of (path, content), batch or streaming. kinds: format by path; detect: else by name or content."""
+    return files.select("path", "content").mapInArrow(lambda batches: whole_batches(batches, kinds, keep_linebreaks, detect), SCHEMA)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch, bool]]:

@@ -120,3 +120,10 @@ def test_one_file_without_the_driver(spark, tmp_path, monkeypatch):
             sinks.write_file(frame(spark, data), str(path), mode=mode)
         assert rows(scan.scan(spark, str(path))) == data + [(i + 300, *r) for i, *r in data]
     assert not [f for f in tmp_path.iterdir() if f.name.endswith((".parts", ".unfinished"))]
+
+
+def test_bam_bytes_are_scanned_where_they_are_made(spark):
+    from seqloom.plans.catalogue import QUERIES
+    from tests.conftest import SMALL
+
+    assert plan(QUERIES["roundtrip_ubam"](spark, SMALL)).count("MapInArrow") == 1
